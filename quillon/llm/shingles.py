@@ -62,23 +62,38 @@ def blocks(texts: list[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[
         yield start, held
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and where each document's words begin (one more than documents)."""
+def _separators(is_separator) -> np.ndarray:
+    return np.asarray([is_separator(i) for i in range(256)], dtype=bool)
+
+
+#: Space and tab..carriage return.
+SPACES = _separators(lambda i: i == 32 or 9 <= i <= 13)
+#: All ASCII but digits and letters.
+NON_WORD = _separators(lambda i: i < 128 and not chr(i).isalnum())
+
+
+def word_spans(docs: list[bytes], separators: np.ndarray = SPACES, latin: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, hashes, first): all words in order; ``first`` says where each document's words begin
+    (one more than documents). A-Z are lower-cased, and with ``latin`` the Latin-1 capitals too."""
     buf = np.frombuffer(b" ".join(docs) + b" ", dtype=np.uint8)
     buf = np.where((buf >= 65) & (buf <= 90), buf | 32, buf)
-    sep = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], sep)).view(np.int8)))
+    if latin:
+        capital = (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97)
+        capital[1:] &= buf[:-1] == 0xC3
+        capital[0] = False
+        buf = np.where(capital, buf + np.uint8(32), buf)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], separators[buf])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     up, down = _POWERS.of(len(buf))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[buf] * up)))
-    words = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH_SALT)
+    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH_SALT)
     at = np.cumsum([0, *(len(d) + 1 for d in docs)])
-    return words, np.searchsorted(starts, at)
+    return buf, starts, ends, hashes, np.searchsorted(starts, at)
 
 
 def shingle_sets(docs: list[bytes], k: int = SHINGLE_WORDS) -> tuple[list[np.ndarray], np.ndarray]:
     """For each document its sorted distinct shingle hashes, and a 128-bit key of its whole word sequence."""
-    words, at = word_hashes(docs)
+    _, _, _, words, at = word_spans(docs)
     n = len(words)
     base = [np.uint64(pow(_SHINGLE_BASE, e, 1 << 64)) for e in range(k)]
     if n >= k:
@@ -100,10 +115,10 @@ def shingle_sets(docs: list[bytes], k: int = SHINGLE_WORDS) -> tuple[list[np.nda
         if b - a >= k:
             sets.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:
-            short = np.uint64(b - a) * _LENGTH_SALT
+            short = np.asarray([b - a], dtype=np.uint64) * _LENGTH_SALT
             for w in words[a:b]:
-                short = mix64(np.asarray([short ^ w]))[0]
-            sets.append(np.asarray([short], dtype=np.uint64))
+                short = mix64(short ^ w)
+            sets.append(short)
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     return sets, keys
