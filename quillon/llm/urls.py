@@ -71,7 +71,7 @@ class HostModel:
         total = sum(blocked.values()) + sum(good.values())
         self.cost = {w: -math.log((blocked.get(w, 0) + good.get(w, 0)) / total) for w in words if len(w) > 2}
         self.longest = max(map(len, self.cost))
-        self.unknown, self.letter = 10.0, 1.5
+        self.unknown, self.letter = 12.0, 1.0
         in_blocked, in_good = (sum(c.values()) + smoothing * (len(words) + 1) for c in (blocked, good))
         self.weights = {w: math.log((blocked.get(w, 0) + smoothing) / in_blocked) - math.log((good.get(w, 0) + smoothing) / in_good) for w in words}
         self.prior = math.log(prior_block / (1 - prior_block))
