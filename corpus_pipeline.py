@@ -1,4 +1,91 @@
-"""stub"""
-STAGES = []
+"""A training corpus from raw documents: language ID, toxicity, near-duplicates, benchmark leaks, source mix.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns that they came
+with; the last one returns each document as often as the mix takes it, numbered in ``copy``. ``run`` writes each
+stage's documents to shared storage and the next one reads them from there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, dedup, lang_id, mixing, toxicity
+from quillon.runtime import stash, table
+
+#: A text is rejected if it has no letters or no learned language is this likely.
+LEAST_LANGUAGE = 0.3
+#: Decisions on up to this many documents are sent to all executors; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _pick(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with stored decisions on (doc_id, _th), where _th is the hash of the text and null ids are equal."""
+    small = decided.count() <= BROADCAST_ROWS
+    right = decided.withColumnsRenamed({"doc_id": "_id", "_th": "_rth"})
+    left = docs.withColumn("_th", F.xxhash64("text"))
+    on = [left["_th"] == right["_rth"], left["doc_id"].eqNullSafe(right["_id"])]
+    return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = lang_id.train(docs)
+    got = lang_id.identify(docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text").alias("text")), model)
+    return got.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    got = toxicity.score_toxicity(docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text").alias("text")), net)
+    return got.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id, once."""
+    got = stash(dedup.near_duplicates(docs))
+    gone = got.where(~F.col("kept")).select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    again = stash(got.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("doc_id"))
+    if again.isEmpty():
+        return kept.select(*_columns(docs))
+    # rows that repeat an id, or have none: one of each text
+    again = again.withColumnRenamed("doc_id", "_again")
+    marked = kept.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
+    single = kept.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
+    first = marked.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("source"))).where(F.col("_n") == 1)
+    return single.select(*_columns(docs)).unionByName(first.select(*_columns(docs)))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = stash(got.where("contaminated").select("doc_id", "_th").distinct())
+    return _pick(docs, bad, "left_anti").select(*_columns(docs))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sizes = stash(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_th")))
+    taken = stash(mixing.mix(sizes).where(F.col("copies") > 0).groupBy("doc_id", "_th").agg(F.max("copies").alias("_copies")))
+    return _pick(docs, taken, "inner").select(*_columns(docs), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic),
+    ("minhash_dedup", minhash_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+]
+
+#: Two stages are trained classifiers, which SQL can't express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir))
+    return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillon.llm.chat import OP4_SQL, op4_chat_format
 from quillon.llm.decontaminate import OP8_SQL, op8_decontaminate
+from quillon.llm.dedup import OP5_SQL, op5_minhash_dedup
 from quillon.llm.html_text import op2_html_text
 from quillon.llm.lang_id import op1_language_id
 from quillon.llm.mixing import OP7_SQL, op7_mix_sources
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_chat_format": OP4_SQL,
+    "op5_minhash_dedup": OP5_SQL,
     "op7_mix_sources": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
 }
