@@ -26,7 +26,7 @@ MAX_PER_CLASS, MAX_WINDOWS = 1200, 8
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 16, 8
 GRAM_BUCKETS, GRAM_SIZES, MIN_TEXTS = 4096, (3, 4), 4
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 600, 128, 0.01
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.5
 RUN_WINDOWS = 1024
 
@@ -237,12 +237,16 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     score = rng.random(len(all_rows)).astype(np.float32)
-    for epoch in range(EPOCHS):
+    epochs = EPOCHS
+    epoch = 0
+    while epoch < epochs:
         order = np.lexsort((-score if epoch else rng.random(len(score)), owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         toxic = y[owner[order]] == 1
         take = (part[owner[order]] != 0) & (rank < MAX_WINDOWS) & (~toxic | (epoch == 0) | (rank == 0) | (score[order] > 0))
         chosen = rng.permutation(order[take])
+        if not epoch:  # few texts are gone through more often
+            epochs = max(EPOCHS, min(40, -(-LEAST_STEPS * BATCH // max(1, len(chosen)))))
         for i in range(0, len(chosen), BATCH):
             batch = chosen[i : i + BATCH]
             used, inverse = np.unique(all_rows[batch], return_inverse=True)
@@ -266,10 +270,11 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
                 gk = g[k].reshape(v.shape) + np.float32(1e-5) * v
                 m += 0.1 * (gk - m)
                 s += 0.01 * (gk * gk - s)
-                v -= np.float32(RATE / (1 + 0.3 * epoch)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + np.float32(1e-7))
+                v -= np.float32(RATE * (1 - 0.9 * epoch / epochs)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + np.float32(1e-7))
         x, _ = net.inputs(words, np.arange(len(words.hashes)), ids)
         gates = x @ net.p["wx"] + net.p["b"]
         score = np.concatenate([net.forward(gates, all_rows[i : i + RUN_WINDOWS])[0] for i in range(0, len(all_rows), RUN_WINDOWS)])
+        epoch += 1
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, score)
     ok = (part == 0) & np.isfinite(best)
