@@ -22,7 +22,7 @@ from quillon.llm.shingles import NON_WORD, blocks, word_spans
 from quillon.runtime import ship_package, table
 
 #: The network is fitted on at most about this many labelled texts of each class, and windows of each text.
-MAX_PER_CLASS, MAX_WINDOWS = 1200, 8
+MAX_PER_CLASS, MAX_WINDOWS = 1000, 8
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 16, 8
 GRAM_BUCKETS, GRAM_SIZES, MIN_TEXTS = 4096, (3, 4), 4
@@ -37,27 +37,30 @@ class Words:
     def __init__(self, docs: list[bytes]) -> None:
         buf, starts, ends, hashes, self.first = word_spans(docs, NON_WORD, latin=True)
         self.hashes, at, self.index = np.unique(hashes, return_index=True, return_inverse=True)
+        self.index = self.index.astype(np.int32)
         a, size = starts[at], ends[at] - starts[at] + 2
         begin = np.concatenate(([0], np.cumsum(size)))
         n = int(begin[-1])
         # all distinct words in a row, with a marker before and after each
-        place = np.arange(n) - np.repeat(begin[:-1] - a + 1, size)
+        place = np.arange(n, dtype=np.int32) - np.repeat((begin[:-1] - a + 1).astype(np.int32), size)
         chars = buf[np.clip(place, 0, len(buf) - 1)].astype(np.uint32)
+        del place, buf
         chars[begin[:-1]] = 1
         chars[begin[1:] - 1] = 2
-        owner = np.repeat(np.arange(len(size)), size)
-        within = np.arange(n) - begin[:-1][owner]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        left = np.repeat(begin[1:].astype(np.int32), size) - np.arange(n, dtype=np.int32)
         grams, owners = [], []
         for k in GRAM_SIZES:
-            fits = np.flatnonzero(within + k <= size[owner])
+            fits = np.flatnonzero(left >= k).astype(np.int32)
             h = np.zeros(len(fits), dtype=np.uint32)
             for j in range(k):
                 h = (h ^ chars[fits + j]) * np.uint32(0x01000193) + np.uint32(k)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
-            grams.append((h >> np.uint32(16)) & np.uint32(GRAM_BUCKETS - 1))
+            grams.append(((h >> np.uint32(16)) & np.uint32(GRAM_BUCKETS - 1)).astype(np.int32))
             owners.append(owner[fits])
-        owners, grams = np.concatenate(owners), np.concatenate(grams).astype(np.int64)
+            del h, fits
+        owners, grams = np.concatenate(owners), np.concatenate(grams)
         order = np.argsort(owners, kind="stable")
         self.grams = grams[order]
         self.gram_at = np.searchsorted(owners[order], np.arange(len(size) + 1))
@@ -74,7 +77,7 @@ class Words:
             starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
             starts = np.minimum(starts, max(0, n - WINDOW))
             at = a + starts[:, None] + steps
-            rows.append(np.where(at < b, self.index[np.minimum(at, b - 1)], -1))
+            rows.append(np.where(at < b, self.index[np.minimum(at, b - 1)], -1).astype(np.int32))
             owner.append(np.full(len(starts), i))
         if not rows:
             return np.zeros((0, WINDOW), dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -227,7 +230,7 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
         net.slope = 0.0
         net.offset = 4.0 if 1.0 in y else -4.0 if len(y) else 0.0
         return net
-    part = np.arange(len(texts)) % 5
+    fifth = np.arange(len(texts)) % 5
     docs = [t.encode("utf-8", "surrogatepass") for t in texts]
     words = Words(docs)
     net = Network(_known_words(words))
@@ -243,7 +246,7 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
         order = np.lexsort((-score if epoch else rng.random(len(score)), owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         toxic = y[owner[order]] == 1
-        take = (part[owner[order]] != 0) & (rank < MAX_WINDOWS) & (~toxic | (epoch == 0) | (rank == 0) | (score[order] > 0))
+        take = (fifth[owner[order]] != 0) & (rank < MAX_WINDOWS) & (~toxic | (epoch == 0) | (rank == 0) | (score[order] > 0))
         chosen = rng.permutation(order[take])
         if not epoch:  # few texts are gone through more often
             epochs = max(EPOCHS, min(40, -(-LEAST_STEPS * BATCH // max(1, len(chosen)))))
@@ -271,13 +274,17 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
                 m += 0.1 * (gk - m)
                 s += 0.01 * (gk * gk - s)
                 v -= np.float32(RATE * (1 - 0.9 * epoch / epochs)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + np.float32(1e-7))
-        x, _ = net.inputs(words, np.arange(len(words.hashes)), ids)
-        gates = x @ net.p["wx"] + net.p["b"]
-        score = np.concatenate([net.forward(gates, all_rows[i : i + RUN_WINDOWS])[0] for i in range(0, len(all_rows), RUN_WINDOWS)])
+        del gates, kept, x, d_gates, d_x
+        for i in range(0, len(all_rows), RUN_WINDOWS):
+            part_rows = all_rows[i : i + RUN_WINDOWS]
+            used, inverse = np.unique(part_rows, return_inverse=True)
+            shift = int(used[0] == -1)
+            x, _ = net.inputs(words, used[shift:], ids)
+            score[i : i + RUN_WINDOWS] = net.forward(x @ net.p["wx"] + net.p["b"], inverse.reshape(part_rows.shape) - shift)[0]
         epoch += 1
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, score)
-    ok = (part == 0) & np.isfinite(best)
+    ok = (fifth == 0) & np.isfinite(best)
     if len(set(y[ok])) == 2:
         _calibrate(net, best[ok], y[ok], counts)
     return net
