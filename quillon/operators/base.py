@@ -13,7 +13,10 @@ from quillon.functions.exprs import array_mean, array_median, array_std, col, di
 from quillon.functions.stats import critical, normal_p
 from quillon.registry import operator
 
-EVERY = Window.partitionBy()
+
+def every():
+    """The window of all rows; for tables of a few rows."""
+    return Window.partitionBy()
 
 
 @operator("funnel_rates")
@@ -51,7 +54,7 @@ def contribution(df: DataFrame, group_field: str, value_field: str, current_filt
         F.col("v_baseline").alias("baseline"),
         F.col("v_current").alias("current"),
         delta.alias("delta"),
-        div(delta, F.sum(delta).over(EVERY)).alias("share_of_gap"),
+        div(delta, F.sum(delta).over(every())).alias("share_of_gap"),
     )
     summary = sums.agg(total(F.col("v_baseline")).alias("baseline"), total(F.col("v_current")).alias("current")).withColumn("gap", F.col("current") - F.col("baseline"))
     return Result({"rows": rows, "summary": summary}, limitations(df, "contribution", [("GROUPS_MUST_BE_ADDITIVE", "groups have to be disjoint and additive")], [(rows.agg(F.min("delta").alias("a"), F.max("delta").alias("b")), (F.col("a") < 0) & (F.col("b") > 0), "GAP_OFFSETTING", "groups move in both directions: shares can pass 100 %")]))
@@ -63,7 +66,7 @@ def ratio_decomp(df: DataFrame, group_field: str, numerator_field: str, denomina
     need(df, group_field, numerator_field, denominator_field)
     s = _two_sides(df, group_field, {"n": num(numerator_field), "d": num(denominator_field)}, current_filter, baseline_filter)
     rate = {t: div(F.col(f"n_{t}"), F.col(f"d_{t}")) for t in ("baseline", "current")}
-    weight = {t: div(F.col(f"d_{t}"), F.sum(f"d_{t}").over(EVERY)) for t in ("baseline", "current")}
+    weight = {t: div(F.col(f"d_{t}"), F.sum(f"d_{t}").over(every())) for t in ("baseline", "current")}
     r = s.select("group", *(v.alias(f"rate_{t}") for t, v in rate.items()), *(F.coalesce(v, F.lit(0.0)).alias(f"weight_{t}") for t, v in weight.items()))
     within = F.coalesce(F.col("weight_baseline") * (F.col("rate_current") - F.col("rate_baseline")), F.lit(0.0))
     mix = F.coalesce((F.col("weight_current") - F.col("weight_baseline")) * F.col("rate_baseline"), F.lit(0.0))
@@ -118,7 +121,7 @@ def segment_profile(df: DataFrame, segment_field: str, metrics: Sequence[Mapping
     how = {"sum": lambda f: total(num(f)), "mean": lambda f: F.avg(num(f))}
     aggs = [how.get(m.get("agg", "count"), lambda f: F.count(col(f)))(m["field"]).alias(m.get("name") or f"{m['field']}_{m.get('agg', 'count')}") for m in metrics]
     rows = df.groupBy(col(segment_field).alias("segment")).agg(F.count(F.lit(1)).alias("size"), *aggs)
-    rows = rows.withColumn("share", div(F.col("size").cast("double"), F.sum("size").over(EVERY).cast("double")))
+    rows = rows.withColumn("share", div(F.col("size").cast("double"), F.sum("size").over(every()).cast("double")))
     return Result({"rows": rows}, limitations(df, "segment_profile", [("SEGMENT_DESCRIPTIVE", "segments are described, not explained")]))
 
 
