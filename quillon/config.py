@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -44,8 +43,10 @@ def predicate(df: DataFrame, spec: Mapping[str, Any] | None) -> Column:
         need(df, name)
         c = F.col(f"`{name}`")
         if isinstance(want, Mapping):
-            parts = [c >= F.lit(want["from"])] * ("from" in want) + [c <= F.lit(want["to"])] * ("to" in want)
-            out = reduce(Column.__and__, parts, out)
+            if "from" in want:
+                out = out & (c >= F.lit(want["from"]))
+            if "to" in want:
+                out = out & (c <= F.lit(want["to"]))
         elif isinstance(want, (list, tuple, set)):
             out = out & c.isin(*want)
         else:

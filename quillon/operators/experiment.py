@@ -170,9 +170,9 @@ def cuped(df: DataFrame, variant_field: str, metric_field: str, covariate_field:
     arm = col(variant_field).cast("string")
     t = df.select(arm.alias("arm"), num(metric_field).alias("y"), num(covariate_field).alias("x")).where(F.col("arm").isin(str(control), str(treatment)) & F.col("y").isNotNull() & F.col("x").isNotNull())
     one = arm_moments(t.withColumn("w", F.lit(1.0)), F.col("arm"), {"y": F.col("y"), "x": F.col("x")}, (str(control), str(treatment)))
-    both = t.agg(F.count(F.lit(1)).alias("n"), F.covar_samp("y", "x").alias("_c"), F.var_samp("x").alias("_vx"), F.var_samp("y").alias("_vy"), F.avg("x").alias("_mx"), F.corr("y", "x").alias("correlation"), *(F.covar_samp(F.when(F.col("arm") == a, F.col("y")), F.when(F.col("arm") == a, F.col("x"))).alias(f"_c_{k}") for k, a in (("c", str(control)), ("t", str(treatment)))))
+    both = t.agg(F.count(F.lit(1)).alias("n"), F.covar_samp("y", "x").alias("_c"), F.var_samp("x").alias("_vx"), F.var_samp("y").alias("_vy"), F.avg("x").alias("_mx"), *(F.covar_samp(F.when(F.col("arm") == a, F.col("y")), F.when(F.col("arm") == a, F.col("x"))).alias(f"_c_{k}") for k, a in (("c", str(control)), ("t", str(treatment)))))
     # two rows of one row each
-    m = one.join(both, F.lit(True)).withColumn("theta", div(F.col("_c"), F.col("_vx")))
+    m = one.join(both, F.lit(True)).withColumn("theta", div(F.col("_c"), F.col("_vx"))).withColumn("correlation", div(F.col("_c"), F.sqrt(F.col("_vx") * F.col("_vy"))))
     theta = F.col("theta")
     for k in "ct":
         m = m.withColumn(f"n_a_{k}", F.col(f"n_y_{k}")).withColumn(f"mean_a_{k}", F.col(f"mean_y_{k}") - theta * (F.col(f"mean_x_{k}") - F.col("_mx")))
