@@ -69,7 +69,7 @@ def fit(rows: pd.DataFrame, counts: dict[int, int]) -> CompressionModel:
     rows = rows[rows["text"].notna() & rows["label"].isin([0, 1])]
     if rows["label"].nunique() < 2:
         return CompressionModel(b"", b"")
-    rows = rows.assign(part=np.arange(len(rows)) % 4)
+    rows = rows.assign(part=rows.groupby("label").cumcount() % 4)
     build, check = rows[rows["part"] != 0], rows[rows["part"] == 0]
     model = CompressionModel(_dictionary(build.loc[build["label"] == 1, "text"].tolist()), _dictionary(build.loc[build["label"] == 0, "text"].tolist()))
     x = np.asarray([model.difference(t) for t in check["text"]]) * 40

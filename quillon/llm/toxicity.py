@@ -230,7 +230,7 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
         net.slope = 0.0
         net.offset = 4.0 if 1.0 in y else -4.0 if len(y) else 0.0
         return net
-    fifth = np.arange(len(texts)) % 5
+    fifth = rows.groupby("label").cumcount().to_numpy() % 5
     docs = [t.encode("utf-8", "surrogatepass") for t in texts]
     words = Words(docs)
     net = Network(_known_words(words))
