@@ -34,8 +34,13 @@ def stash(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of rows that a Python worker gets at once: long texts come in small batches.
+BATCH_BYTES = 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever the driver got it from."""
+    """Makes this package importable in Python workers, wherever the driver got it from, and bounds what they hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
