@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import direction, parse_money, statement_numbers
+
 from quillon.operators.base import ab_effect, anomaly_scan, contribution, funnel_rates, ratio_decomp, segment_profile
 from quillon.operators.experiment import changepoint_scan, cuped, multiple_testing, power_mde, srm_check
 from quillon.operators.growth import attribution, cohort_retention, path_analysis, price_elasticity, rfm, survival
+from quillon.plans.quality import Contract, date_gaps, profile_fields, profile_table, quality_gate
+from quillon.plans.reconcile import reconcile
+from quillon.plans.report import chart_rows, render
+from quillon.plans.retail import regional_revenue, top_orders
+from quillon.plans.verify import verify_claims
 from quillon.runtime import table
+from quillon.streaming.sessions import daily_sums, run_to_end
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -328,3 +337,117 @@ def changepoint_cusum(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def power_mde_query(spark: SparkSession, sf: str) -> DataFrame:
     return power_mde(spark, baseline_rate=0.5, mde_absolute=0.05, daily_traffic_per_arm=500)["summary"]
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM orders)
+SELECT 'o_orderkey' AS field, count(*) FILTER (WHERE o_orderkey IS NULL) AS missing_count, count(DISTINCT o_orderkey) AS unique_count, true AS is_numeric, round(min(o_orderkey)::DOUBLE, 2) AS min, round(max(o_orderkey)::DOUBLE, 2) AS max, round(avg(o_orderkey), 2) AS mean, round(median(o_orderkey), 2) AS median FROM orders
+UNION ALL SELECT 'o_totalprice', count(*) FILTER (WHERE o_totalprice IS NULL), count(DISTINCT o_totalprice), true, round(min(o_totalprice), 2), round(max(o_totalprice), 2), round(avg(o_totalprice), 2), round(median(o_totalprice), 4) FROM orders
+UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE o_orderpriority IS NULL), count(DISTINCT o_orderpriority), false, NULL, NULL, NULL, NULL FROM orders
+""")
+def profile_fields_query(spark: SparkSession, sf: str) -> DataFrame:
+    p = profile_fields(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
+    return rounded(p.select("field", "missing_count", "unique_count", "is_numeric", "min", "max", "mean", "median"), min=2, max=2, mean=2, median=4)
+
+
+@query("SELECT count(*) AS rows, (SELECT count(*) FROM orders) - count(*) AS duplicate_rows, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day, count(DISTINCT o_orderdate::DATE) AS unique_days, 6 AS columns, greatest(0, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) + 1 - count(DISTINCT o_orderdate::DATE)) AS missing_days FROM (SELECT DISTINCT * FROM orders)")
+def profile_table_query(spark: SparkSession, sf: str) -> DataFrame:
+    return profile_table(table(spark, sf, "orders"), "o_orderdate")
+
+
+@query("SELECT d::DATE AS day FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY)) AS d FROM orders) WHERE d::DATE NOT IN (SELECT o_orderdate::DATE FROM orders)")
+def date_gaps_query(spark: SparkSession, sf: str) -> DataFrame:
+    return date_gaps(table(spark, sf, "orders"), "o_orderdate")
+
+
+@query("""
+WITH d AS (SELECT o_orderdate::DATE AS day, CASE WHEN sum(o_totalprice) > 0 THEN sum(o_totalprice) END AS v FROM orders GROUP BY 1),
+s AS (SELECT median(v) AS med, stddev_samp(v) AS sd, mad(v) AS mad FROM d)
+SELECT 'metric_outlier' AS "check", 'warning' AS severity, 'revenue' AS field, day, round((v - med) / (greatest(mad, sd / 3, 1e-12) * 1.4826), 6) AS value FROM d, s WHERE (v - med) / (greatest(mad, sd / 3, 1e-12) * 1.4826) > 3
+UNION ALL SELECT 'date_gap', 'warning', 'day', x::DATE, NULL FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS x FROM d) WHERE x::DATE NOT IN (SELECT day FROM d)
+""")
+def quality_gate_query(spark: SparkSession, sf: str) -> DataFrame:
+    days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("revenue"))
+    flags = quality_gate(days, Contract.from_dict({"date_field": "day", "metric_fields": {"pay_success": "revenue"}, "quality": {"outlier_z": 3}}))["flags"]
+    return rounded(flags.drop("detail"), value=6)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS number, l_returnflag = 'A' AS is_percent FROM lineitem")
+def money_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices written as a bookkeeper would, and read again."""
+    text = F.format_number("l_extendedprice", 2)
+    cell = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("("), text, F.lit(")"))).when(F.col("l_returnflag") == "A", F.concat(text, F.lit("%"))).otherwise(F.concat(F.lit("¥ "), text))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse_money(cell).alias("m")).select("l_orderkey", "l_linenumber", "m.number", "m.is_percent")
+
+
+@query("SELECT o_orderkey, o_totalprice AS raw_value, o_custkey::DOUBLE AS percent_value, 'down' AS way FROM orders")
+def statement_numbers_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences about orders, and the numbers found in them; the date is none of them."""
+    text = F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the price fell to "), F.format_number("o_totalprice", 2), F.lit(", that is "), F.col("o_custkey").cast("string"), F.lit("% of it"))
+    n = table(spark, sf, "orders").select("o_orderkey", statement_numbers(text).alias("n"), direction(text).alias("way")).where(F.size("n") == 2)
+    return n.select("o_orderkey", F.col("n")[0]["value"].alias("raw_value"), F.when(F.col("n")[1]["unit"] == "percent", F.col("n")[1]["value"]).alias("percent_value"), "way")
+
+
+_SHEET = "SELECT o_orderpriority AS p, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2"
+
+
+@query(f"""
+WITH d AS ({_SHEET}), s AS (SELECT p, sum(v) AS c FROM d GROUP BY 1)
+SELECT p || ' subtotal' AS label, 'group' AS scope_type, 'constraints' AS scope, round(c + CASE WHEN p = '2-HIGH' THEN c ELSE 0 END, 2) AS stated, round(c, 2) AS computed, CASE WHEN p = '2-HIGH' THEN 'inconsistent' ELSE 'consistent' END AS status FROM s
+UNION ALL SELECT 'Grand total', 'total', 'all_detail', round(sum(c), 2), round(sum(c), 2), 'consistent' FROM s
+""")
+def reconcile_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet of yearly revenue with subtotals, one of them wrong, and a total, held against its own rows."""
+    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    s = d.groupBy("p").agg(F.sum("v").alias("c"))
+    text = lambda x: F.format_number(x, 2)
+    rows = d.select(F.concat("p", F.lit("|"), F.col("y").cast("string")).alias("k"), F.array("p", F.concat(F.lit("y"), F.col("y").cast("string")), text(F.col("v"))).alias("cells"))
+    rows = rows.unionByName(s.select(F.concat("p", F.lit("|z")).alias("k"), F.array(F.concat("p", F.lit(" subtotal")), F.lit(""), text(F.when(F.col("p") == "2-HIGH", F.col("c") * 2).otherwise(F.col("c")))).alias("cells")))
+    rows = rows.unionByName(s.agg(F.sum("c").alias("c")).select(F.lit("~").alias("k"), F.array(F.lit("Grand total"), F.lit(""), text(F.col("c"))).alias("cells")))
+    rows = rows.unionByName(spark.createDataFrame([("", ["priority", "year", "amount"])], "k string, cells array<string>"))
+    grid = rows.select((F.row_number().over(Window.orderBy("k")) - 1).alias("row_idx"), "cells")
+    e = reconcile(grid, header_row=0).entries
+    return rounded(e.select("label", "scope_type", "scope", "stated", "computed", "status"), stated=2, computed=2)
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)
+SELECT p AS claim_id, CASE WHEN p = '5-LOW' THEN 'fail' ELSE 'pass' END AS status FROM s
+""")
+def verify_claims_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A claim about each priority's number of orders, one of them false, held against counted evidence."""
+    s = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    evidence = s.select(F.concat(F.lit("E-"), "p").alias("id"), F.lit("count").alias("kind"), F.lit("orders").alias("key"), F.col("n").cast("double").alias("value"), F.lit(True).alias("verified"))
+    said = F.format_number(F.when(F.col("p") == "5-LOW", F.col("n") + 7).otherwise(F.col("n")), 0)
+    claims = s.select(F.col("p").alias("claim_id"), F.concat(F.lit("the orders are "), said).alias("statement"), F.lit("L1").alias("level"), F.array(F.concat(F.lit("E-"), "p")).alias("evidence_ids"), F.array(F.lit("none")).alias("limitations"))
+    return verify_claims(claims, evidence)["status"]
+
+
+@query("""
+WITH o AS (SELECT DISTINCT o_custkey, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 0)
+SELECT date_trunc('month', o_orderdate)::DATE AS month, r_name AS region, count(*) AS orders, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS revenue
+FROM o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((date_trunc('month', o_orderdate)::DATE, r_name), ())
+""")
+def regional_revenue_query(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(regional_revenue(*(table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))), revenue=2)
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10))")
+def top_orders_query(spark: SparkSession, sf: str) -> DataFrame:
+    return top_orders(table(spark, sf, "orders")).select(table(spark, sf, "orders").columns)
+
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def stream_daily_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream, summed by day."""
+    batch = table(spark, sf, "events")
+    source = spark.readStream.schema(batch.schema).parquet(f"{sf.rstrip('/')}/events.parquet*")
+    return rounded(run_to_end(daily_sums(source), f"daily_{uuid4().hex}"), value=2)
+
+
+@query()
+def report_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A rendered report on the contribution query, as one row."""
+    rows = contribution_query(spark, sf)
+    page = render({"meta": {"title": "Revenue by return flag", "subtitle": "1997 against 1996"}, "findings": [{"title": "Change", "body": "Groups and their deltas", "level": "L1", "evidence_ids": ["C-001"]}], "analysis": [{"heading": "Deltas", "charts": [{"type": "bars", "data": chart_rows(rows, "group", "delta")}]}]})
+    return spark.createDataFrame([(page,)], "html string")
