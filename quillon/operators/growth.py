@@ -96,7 +96,8 @@ def cohort_retention(df: DataFrame, id_field: str, date_field: str, period: str
         raise InputError("period has to be day, week or month")
     bucket = lambda c: F.to_date(F.date_trunc(period, c))
     e = df.select(col(id_field).alias("id"), bucket(typed_day(df, date_field)).alias("bucket"), (bucket(typed_day(df, cohort_field)) if cohort_field else F.lit(None).cast("date")).alias("_given"), (F.coalesce(num(value_field), F.lit(0.0)) if value_field else F.lit(0.0)).alias("v"))
-    e = e.where(F.col("id").isNotNull() & F.col("bucket").isNotNull())
+    # one row for each entity and period before anything is windowed: what follows grows with entities, not with rows
+    e = e.where(F.col("id").isNotNull() & F.col("bucket").isNotNull()).groupBy("id", "bucket", "_given").agg(F.sum("v").alias("v"))
     cohort = F.col("_given") if cohort_field else F.min("bucket").over(Window.partitionBy("id"))
     e = e.withColumn("cohort", cohort).where(F.col("cohort").isNotNull())
     steps = lambda later, earlier: F.months_between(later, earlier).cast("int") if period == "month" else F.floor(F.datediff(later, earlier) / (7 if period == "week" else 1)).cast("int")
@@ -114,23 +115,18 @@ def cohort_retention(df: DataFrame, id_field: str, date_field: str, period: str
     return Result({"rows": rows, "average": average}, limitations(df, "cohort_retention", [("COHORT_LEFT_TRUNCATED", "entities active before the data begin look new")], [(rows, ~F.col("mature"), "COHORT_IMMATURE", "some cohorts are not observed to the end"), (rows, F.col("below_min_size"), "COHORT_SMALL", "some cohorts are small")]))
 
 
-def _life_table(t: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., time, at_risk, events) at each time with an event, from one count for each time."""
-    per = t.groupBy(*by, "time").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("event").cast("int")).alias("events"))
-    return per.withColumn("at_risk", F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("time").desc())))
-
-
 @operator("survival")
 def survival(df: DataFrame, duration_field: str, event_field: str | None = None, group_field: str | None = None, survival_at_times: Sequence[float] = ()) -> Result:
     """Kaplan-Meier curves of groups, and the log-rank test where there are two.
 
-    Counts are aggregated by time first, so windows run over distinct times. The test covers the two groups' rows only.
+    The test covers the two groups' rows only.
     """
     need(df, duration_field, *(f for f in (event_field, group_field) if f))
     t = df.select((col(group_field).cast("string") if group_field else F.lit("all")).alias("group"), num(duration_field).alias("time"), (flag(event_field) if event_field else F.lit(True)).alias("event"))
-    t = t.where((F.col("time") >= 0) & F.col("group").isNotNull())
-    t = t.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("group"))).where(F.col("_rows") >= (2 if group_field else 1))
-    table = _life_table(t, ["group"]).where(F.col("events") > 0)
+    # counts by time first: windows then run over distinct times
+    per = t.where((F.col("time") >= 0) & F.col("group").isNotNull()).groupBy("group", "time").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("event").cast("int")).alias("events"))
+    per = per.withColumn("_rows", F.sum("c").over(Window.partitionBy("group"))).where(F.col("_rows") >= (2 if group_field else 1))
+    table = per.withColumn("at_risk", F.sum("c").over(Window.partitionBy("group").orderBy(F.col("time").desc()))).where(F.col("events") > 0)
     run = Window.partitionBy("group").orderBy("time")
     d, r = F.col("events").cast("double"), F.col("at_risk").cast("double")
     alive = F.min(r - d).over(run)
@@ -139,7 +135,7 @@ def survival(df: DataFrame, duration_field: str, event_field: str | None = None,
     curve = table.select("group", "time", F.col("at_risk").cast("bigint").alias("at_risk"), F.col("events").cast("bigint").alias("events"), (d / r).alias("hazard"), s.alias("survival"), g.alias("_g"))
     se = F.col("survival") * F.sqrt("_g")
     curve = curve.withColumn("se", se).withColumn("ci_low", F.greatest(F.col("survival") - 1.96 * se, F.lit(0.0))).withColumn("ci_high", F.least(F.col("survival") + 1.96 * se, F.lit(1.0))).drop("_g")
-    sizes = t.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event").cast("int")).cast("bigint").alias("events")).withColumn("censored", F.col("n") - F.col("events"))
+    sizes = per.groupBy("group").agg(F.sum("c").alias("n"), F.sum("events").cast("bigint").alias("events")).withColumn("censored", F.col("n") - F.col("events"))
     marks = curve.groupBy("group").agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"), F.max(F.struct("hazard", (-F.col("time")).alias("_t"))).alias("_h"))
     summary = sizes.join(marks, "group", "left").select("group", "n", "events", "censored", "median", (-F.col("_h._t")).alias("highest_hazard_time"), F.col("_h.hazard").alias("highest_hazard"))
     tables = {"curve": curve, "summary": summary}
@@ -147,11 +143,10 @@ def survival(df: DataFrame, duration_field: str, event_field: str | None = None,
         at = [F.struct(F.lit(float(x)).alias("at_time"), F.coalesce(F.min(F.when(F.col("time") <= float(x), F.col("survival"))), F.lit(1.0)).alias("survival")) for x in survival_at_times]
         tables["at_times"] = sizes.select("group").join(curve, "group", "left").groupBy("group").agg(F.array(*at).alias("_a")).select("group", F.explode("_a").alias("a")).select("group", "a.*")
     if group_field:
-        names = t.agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count_distinct("group").alias("groups"))
-        pooled = t.groupBy("group", "time").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("event").cast("int")).alias("events"))
+        names = per.agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count_distinct("group").alias("groups"))
         # both groups' counts at each time of either, then at-risk numbers from the end
         first = F.min("group").over(every())
-        both = pooled.withColumn("_one", F.col("group") == first).groupBy("time").agg(F.sum("events").alias("d"), F.sum("c").alias("c"), F.sum(F.when(F.col("_one"), F.col("events")).otherwise(0)).alias("d1"), F.sum(F.when(F.col("_one"), F.col("c")).otherwise(0)).alias("c1"))
+        both = per.withColumn("_one", F.col("group") == first).groupBy("time").agg(F.sum("events").alias("d"), F.sum("c").alias("c"), F.sum(F.when(F.col("_one"), F.col("events")).otherwise(0)).alias("d1"), F.sum(F.when(F.col("_one"), F.col("c")).otherwise(0)).alias("c1"))
         back = Window.partitionBy().orderBy(F.col("time").desc())
         both = both.withColumn("n", F.sum("c").over(back).cast("double")).withColumn("n1", F.sum("c1").over(back).cast("double")).where(F.col("d") > 0)
         e1 = F.col("d") * F.col("n1") / F.col("n")
