@@ -35,7 +35,8 @@ def stamp(c: Column | str) -> Column:
     x = col(c) if isinstance(c, str) else c
     s = x.cast("string")
     forms = ("yyyy/M/d HH:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "yyyy-M-d", "yyyyMMdd", "M/d/yyyy", "yyyy.M.d")
-    return F.coalesce(x.try_cast("timestamp"), *(F.try_to_timestamp(s, F.lit(f)) for f in forms))
+    # most text is no date, and a failed parse is dear: only what begins like one is tried
+    return F.when(s.rlike(r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]?|^\s*\d{8}\s*$"), F.coalesce(x.try_cast("timestamp"), *(F.try_to_timestamp(s, F.lit(f)) for f in forms)))
 
 
 def day(c: Column | str) -> Column:

@@ -74,16 +74,18 @@ def strip_summary_words(c: Column) -> Column:
 def statement_numbers(c: Column) -> Column:
     """array<struct<value,unit,sign,raw>>: the numbers of a statement, those of dates left out."""
     text = F.regexp_replace(F.coalesce(c, F.lit("")), DATE, " ")
-    part = lambda i: F.regexp_extract_all(text, F.lit(NUMBER), F.lit(i))
-    rows = F.arrays_zip(part(1).alias("s"), part(2).alias("n"), part(3).alias("u"), part(0).alias("r"))
 
     def made(x):
-        sign = F.when(x["s"].isin("-", "−"), -1).when(x["s"] == "+", 1)
-        value = F.replace(x["n"], F.lit(","), F.lit("")).try_cast("double")
-        unit = F.when(F.lower(x["u"]).isin("%", "pct"), "percent").when(F.lower(x["u"]).isin("个百分点", "个百分點", "pp"), "pp").otherwise("raw")
-        return F.struct(F.when(sign == -1, -value).otherwise(value).alias("value"), unit.alias("unit"), sign.alias("sign"), F.trim(x["r"]).alias("raw"))
-
-    return F.transform(rows, made)
+        raw = F.trim(x)
+        first = F.substring(raw, 1, 1)
+        sign = F.when(first.isin("-", "−"), -1).when(first == "+", 1)
+        value = F.regexp_replace(raw, r"[^0-9.]", "").try_cast("double")
+        tail = F.lower(raw)
+        unit = F.when(tail.endswith("%") | tail.endswith("pct"), "percent").when(tail.endswith("pp") | raw.endswith("个百分点") | raw.endswith("个百分點"), "pp").otherwise("raw")
+        return F.struct(F.when(sign == -1, -value).otherwise(value).alias("value"), unit.alias("unit"), sign.alias("sign"), raw.alias("raw"))
+
+    # one pass of the pattern; what it found is short
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), made)
 
 
 def label_numbers(c: Column) -> Column:

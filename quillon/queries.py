@@ -384,8 +384,8 @@ def money_cells(spark: SparkSession, sf: str) -> DataFrame:
 def statement_numbers_query(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences about orders, and the numbers found in them; the date is none of them."""
     text = F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the price fell to "), F.format_number("o_totalprice", 2), F.lit(", that is "), F.col("o_custkey").cast("string"), F.lit("% of it"))
-    n = table(spark, sf, "orders").select("o_orderkey", statement_numbers(text).alias("n"), direction(text).alias("way")).where(F.size("n") == 2)
-    return n.select("o_orderkey", F.col("n")[0]["value"].alias("raw_value"), F.when(F.col("n")[1]["unit"] == "percent", F.col("n")[1]["value"]).alias("percent_value"), "way")
+    n = table(spark, sf, "orders").select("o_orderkey", direction(text).alias("way"), F.posexplode(statement_numbers(text)).alias("i", "n"))
+    return n.groupBy("o_orderkey").agg(F.max(F.when(F.col("n.unit") == "raw", F.col("n.value"))).alias("raw_value"), F.max(F.when(F.col("n.unit") == "percent", F.col("n.value"))).alias("percent_value"), F.max("way").alias("way"))
 
 
 _SHEET = "SELECT o_orderpriority AS p, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2"
