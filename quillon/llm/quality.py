@@ -1,13 +1,14 @@
-"""Quality classifier by compression: one zstandard dictionary of good text and one of bad text.
+"""Quality classifier by compression: zstandard dictionaries of good text and of bad text.
 
 Each text is compressed with both. How much smaller it gets with the good one, over its own size, is the
-normalised compressed-size difference; logistic calibration on labelled texts that built neither dictionary
-turns it into the probability of label 1.
+normalised compressed-size difference. Dictionaries vary with the texts that build them, so the difference is summed
+over PAIRS pairs, each from other draws of the sample. A rising curve (isotonic regression, straight
+between its steps), fitted on labelled texts that built no dictionary and weighted to the classes' shares in all
+labelled rows, turns it into the probability of label 1.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,33 +21,48 @@ from quillon.llm.sampling import bounded_sample, fold, held_out, texts_of
 from quillon.runtime import ship_package, table
 
 #: The classifier is fitted on at most about this many labelled texts of each class.
-MAX_PER_CLASS = 2000
+MAX_PER_CLASS = 2400
 DICT_BYTES, PIECE_BYTES, PIECES, LEVEL = 262_144, 2000, 4, 3
+PAIRS, DRAW = 3, 0.85
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.3
 
 
 class CompressionModel:
-    """Two dictionaries and a logistic curve; picklable, compressors are made where it is used."""
+    """Pairs of dictionaries and the curve's points; picklable, compressors are made where it is used."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float = 40.0, offset: float = 0.0) -> None:
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, pairs: list[tuple[bytes, bytes]], at: list[float] = [0.0], score: list[float] = [0.5]) -> None:  # noqa: B006
+        self.pairs, self.at, self.curve = pairs, at, score
         self._made: list | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": None}
 
     def difference(self, text: str | None) -> float:
-        """(size with the bad dictionary - size with the good one) / size; 0 for empty text."""
+        """The sum over pairs of (size with the bad dictionary - size with the good one) / size; 0 for empty text."""
         if self._made is None:
-            make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._made = [make(self.good), make(self.bad)]
+            make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            self._made = [(make(good), make(bad)) for good, bad in self.pairs]
         raw = text.encode("utf-8", "surrogatepass") if text else b""
-        good, bad = (len(c.compress(raw)) for c in self._made)
-        return (bad - good) / (len(raw) + 30)
+        if not raw:
+            return 0.0
+        return sum(len(bad.compress(raw)) - len(good.compress(raw)) for good, bad in self._made) / (len(raw) + 30)
 
     def score(self, text: str | None) -> float:
-        x = self.slope * self.difference(text) + self.offset
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
+        return float(np.interp(self.difference(text), self.at, self.curve))
+
+
+def rising_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
+    """Isotonic regression by pooling neighbours that fall; points (mean place, level) to interpolate between."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # weight, weighted level, weighted place
+    for i in order:
+        pools.append([w[i], w[i] * y[i], w[i] * x[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    at, level = zip(*((p[2] / p[0], p[1] / p[0]) for p in pools), strict=True)
+    # never quite sure
+    return list(at), [float(min(0.998, max(0.002, v))) for v in level]
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -64,30 +80,22 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(pieces)[-DICT_BYTES:]
 
 
-def fit(rows: pd.DataFrame, counts: dict[int, int]) -> CompressionModel:
+def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 13) -> CompressionModel:
     """From (text, label) rows and the classes' counts in all labelled rows. Without both classes, a flat 0.5."""
     rows = rows[rows["text"].notna() & rows["label"].isin([0, 1])]
     if rows["label"].nunique() < 2:
-        return CompressionModel(b"", b"")
+        return CompressionModel([])
     rows = rows.assign(part=rows.groupby("label").cumcount() % 4)
     build, check = rows[rows["part"] != 0], rows[rows["part"] == 0]
-    model = CompressionModel(_dictionary(build.loc[build["label"] == 1, "text"].tolist()), _dictionary(build.loc[build["label"] == 0, "text"].tolist()))
-    x = np.asarray([model.difference(t) for t in check["text"]]) * 40
-    y = check["label"].to_numpy(float)
-    share = np.asarray([max(1, (y == c).sum()) for c in (0, 1)])
-    weight = np.asarray([counts.get(0, 1), counts.get(1, 1)], float) / share
-    w = weight[y.astype(int)]
-    w /= w.sum()
-    a, b = 1.0, 0.0
-    for _ in range(60):  # Newton with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
-        g = np.asarray([(w * (p - y) * x).sum() + 1e-4 * a, (w * (p - y)).sum()])
-        s = w * p * (1 - p)
-        h = np.asarray([[(s * x * x).sum() + 1e-4, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        size = max(1.0, np.abs(step).max())
-        a, b = a - step[0] / size, b - step[1] / size
-    model.slope, model.offset = float(a * 40), float(b)
+    if build["label"].nunique() < 2:
+        build = check
+    rng = np.random.default_rng(seed)
+    texts = [build.loc[build["label"] == k, "text"].tolist() for k in (1, 0)]
+    draw = lambda t: [t[i] for i in rng.permutation(len(t))[: max(1, int(DRAW * len(t)))]]
+    model = CompressionModel([tuple(_dictionary(draw(t)) for t in texts) for _ in range(PAIRS)])
+    x, y = np.asarray([model.difference(t) for t in check["text"]]), check["label"].to_numpy(int)
+    weight = np.asarray([counts.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)])
+    model.at, model.curve = rising_curve(x, y.astype(float), weight[y])
     return model
 
 
