@@ -291,18 +291,21 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
 
 
 def _calibrate(net: Network, x: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> None:
-    """A logistic curve over left-out texts, weighted to the classes' shares in all labelled rows."""
+    """A logistic curve over left-out texts, weighted to the classes' shares in all labelled rows.
+
+    Targets are 0 and 1 and the ridge is small, so where the classes part, the curve's middle lies between the hardest
+    texts of both and not between their means.
+    """
     weight = np.asarray([counts.get(c, 1) / max(1, (y == c).sum()) for c in (0, 1)])[y.astype(int)]
     weight /= weight.sum()
-    soft = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(80):
+    a, b = 0.5, 0.0
+    for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
-        g = np.asarray([(weight * (p - soft) * x).sum() + 1e-3 * (a - 1), (weight * (p - soft)).sum()])
+        g = np.asarray([(weight * (p - y) * x).sum() + 2e-3 * a, (weight * (p - y)).sum()])
         s = weight * p * (1 - p)
-        h = np.asarray([[(s * x * x).sum() + 1e-3, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
+        h = np.asarray([[(s * x * x).sum() + 2e-3, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
         d = np.linalg.solve(h, g)
-        d /= max(1.0, np.abs(d).max())
+        d /= max(1.0, 2 * np.abs(d).max())
         a, b = max(0.05, a - d[0]), b - d[1]
     net.slope, net.offset = float(a), float(b)
 
