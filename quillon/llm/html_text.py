@@ -115,9 +115,7 @@ def blocks_of(html: str) -> list[Block]:
             linked += len(text.strip())
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -302,17 +303,19 @@ def _features(page: Page) -> str:
     return f"{page.width}x{page.height};c{page.compression};p{page.predictor};mean={a.mean():.4f};sd={a.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};distinct={len(share)}"
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for doc, text in zip(b["doc_id"], b["text"], strict=True):
-            payload = payload_of(text)
-            media = write_page(payload)
+        for text in b.column("text").to_pylist():
+            media = write_page(payload_of(text))
             (page,) = read_pages(media)
             back = page.pixels
             size = len(text.encode("utf-8", "surrogatepass")) if text else 0
-            out.append((doc, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), _features(page)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _DIGEST.split(", ")]).astype({"doc_id": "Int64"})
+            out.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), _features(page)))
+        names = [c.split()[0] for c in _DIGEST.split(", ")]
+        columns = [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*out, strict=True)]
+        if out:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -322,4 +325,4 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's bytes stored as a grey TIFF page, read back with the directory walker and measured."""
     ship_package(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInPandas(_digest, _DIGEST)
+    return docs.mapInArrow(_digest, _DIGEST)

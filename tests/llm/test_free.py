@@ -202,3 +202,23 @@ def test_payload():
         p = tiff.payload_of(text)
         raw = (text or "").encode()
         assert len(p) % 192 == 0 and len(p) >= 192 and p.startswith(raw) and not p[len(raw) :].strip(b" ") and len(p) - len(raw) < 192 + (not raw)
+
+
+def test_scripts_do_not_hide_what_follows():
+    assert html_text.main_text("<article><script>x = \"<a href='\";</script><p>it's the text</p></article>") == "it's the text"
+
+
+def test_media_query(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    rows = [(1, "x"), (None, None), (3, "é" * 200), (3, "é" * 200), (2**60 + 1, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in tiff.op10_media_tiff(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {1, None, 3, 2**60 + 1} and got[3][0] == got[3][1]
+    payload = tiff.payload_of("é" * 200)
+    r = got[3][0]
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (400, 576, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert got[None][0]["payload_bytes"] == 192 and got[None][0]["n_bytes"] == 0
