@@ -13,6 +13,7 @@ from quillon.functions.exprs import col, days_between, div, flag, num, typed_day
 from quillon.functions.stats import chi_square_p
 from quillon.operators.base import every
 from quillon.registry import operator
+from quillon.runtime import stash
 
 MODELS = ("first_touch", "last_touch", "linear", "time_decay", "position_based", "shapley_equal")
 
@@ -106,10 +107,13 @@ def cohort_retention(df: DataFrame, id_field: str, date_field: str, period: str
     per = e.groupBy("cohort", "id", "offset").agg(F.sum("v").alias("v"), F.max("bucket").alias("_b"))
     per = per.withColumn("_base", F.max((F.col("offset") == 0).cast("int")).over(Window.partitionBy("cohort", "id")))
     cells = per.groupBy("cohort", "offset").agg(F.sum("_base").alias("retained"), F.sum(F.when(F.col("_base") == 1, F.col("v")).otherwise(0.0)).alias("value"), F.max("_b").alias("_b"))
-    cells = cells.withColumn("_end", F.max("_b").over(every())).withColumn("size", F.max(F.when(F.col("offset") == 0, F.col("retained"))).over(Window.partitionBy("cohort")))
-    heads = cells.where(F.col("size") > 0).groupBy("cohort").agg(F.max("size").alias("size"), F.max("_end").alias("_end")).withColumn("elapsed", steps(F.col("_end"), F.col("cohort")))
+    cells = cells.withColumn("_end", F.max("_b").over(every()))
+    # a cohort's cells are at most max_periods + 1; they meet in one row, which is filled up to what can be observed
+    heads = cells.groupBy("cohort").agg(F.max(F.when(F.col("offset") == 0, F.col("retained"))).alias("size"), F.max("_end").alias("_end"), F.map_from_entries(F.collect_list(F.struct("offset", F.struct("retained", "value")))).alias("_cells"))
+    heads = heads.where(F.col("size") > 0).withColumn("elapsed", steps(F.col("_end"), F.col("cohort")))
     grid = heads.withColumn("offset", F.explode(F.sequence(F.lit(0), F.least(F.col("elapsed"), F.lit(max_periods)))))
-    rows = grid.join(cells.select("cohort", "offset", "retained", "value"), ["cohort", "offset"], "left").na.fill(0, ["retained"]).na.fill(0.0, ["value"])
+    cell = F.try_element_at("_cells", F.col("offset"))
+    rows = grid.withColumn("retained", F.coalesce(cell["retained"], F.lit(0))).withColumn("value", F.coalesce(cell["value"], F.lit(0.0)))
     rows = rows.select("cohort", "offset", "size", "retained", div(F.col("retained").cast("double"), F.col("size").cast("double")).alias("rate"), "value", div(F.col("value"), F.col("size").cast("double")).alias("value_per_entity"), (F.col("elapsed") > max_periods).alias("mature"), (F.col("size") < min_cohort_size).alias("below_min_size"))
     average = rows.where(F.col("mature") & ~F.col("below_min_size")).groupBy("offset").agg(F.avg("rate").alias("mean_rate"), F.percentile("rate", F.lit(0.5)).alias("median_rate"), F.count(F.lit(1)).alias("cohorts"))
     return Result({"rows": rows, "average": average}, limitations(df, "cohort_retention", [("COHORT_LEFT_TRUNCATED", "entities active before the data begin look new")], [(rows, ~F.col("mature"), "COHORT_IMMATURE", "some cohorts are not observed to the end"), (rows, F.col("below_min_size"), "COHORT_SMALL", "some cohorts are small")]))
@@ -195,38 +199,25 @@ def path_analysis(df: DataFrame, id_field: str, step_field: str, timestamp_field
     )
 
 
-def global_ranks(df: DataFrame, orders: Mapping[str, Sequence[Column]], buckets: int = 64) -> DataFrame:
-    """``df`` with its row numbers in some total orders and the number of rows, without a window over all rows.
+def global_ranks(df: DataFrame, orders: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``df`` with its row numbers in some total orders, and its number of rows in ``_entities``.
 
-    For each order, rows are dealt into ranges of its first column at approximate quantiles; the rank within a
-    range comes from a window over that range, and what lies before it from the ranges' counts. Edges and counts
-    are one row each, of at most ``buckets`` numbers an order.
+    Rows are dealt into ranges of the whole order, ties split by its later columns, and sorted within a range; a row's
+    number is its place there and the rows of the ranges before. Each order is written to shared storage, so places
+    cannot change under a retry; no task sees more than a range, and what is broadcast is a row a range.
     """
-    names = list(orders)
-    keyed = df.select("*", *(orders[n][0].cast("double").alias(f"_k_{n}") for n in names))
-    steps = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    edges = keyed.agg(*(F.array_distinct(F.percentile_approx(f"_k_{n}", steps, F.lit(10_000))).alias(f"_e_{n}") for n in names))
-    ranged = keyed.join(F.broadcast(edges), F.lit(True)).select(*(F.col(c) for c in keyed.columns), *(F.size(F.filter(f"_e_{n}", _below(F.col(f"_k_{n}")))).alias(f"_r_{n}") for n in names))
-    counts = ranged.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"_r_{n}").alias("r")) for n in names))).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.agg(F.collect_list(F.struct("x.n", "x.r", "c")).alias("_counts"))
-    out = ranged.join(F.broadcast(counts), F.lit(True))
-    for n in names:
-        before = F.aggregate(F.filter("_counts", _earlier(n, F.col(f"_r_{n}"))), F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
-        out = out.withColumn(n, before + F.row_number().over(Window.partitionBy(f"_r_{n}").orderBy(*orders[n])))
-    total = F.aggregate(F.filter("_counts", _named(names[0])), F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
-    return out.select(*(F.col(c) for c in df.columns), *names, total.alias("_entities"))
-
-
-def _below(k: Column):
-    return lambda x: x < k
-
-
-def _earlier(name: str, r: Column):
-    return lambda x: (x["n"] == name) & (x["r"] < r)
-
-
-def _named(name: str):
-    return lambda x: x["n"] == name
+    out = stash(df)
+    names = df.columns
+    for name, columns in orders.items():
+        placed = stash(out.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_m", F.monotonically_increasing_id()))
+        placed = placed.withColumn("_range", F.shiftright("_m", 33))
+        counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+        before = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(every()).alias("_entities"))
+        local = F.col("_m") - F.shiftleft(F.col("_range"), 33) + 1
+        joined = placed.drop("_entities").join(F.broadcast(before), F.col("_range") == F.col("_r"))
+        out = joined.select(*names, (F.col("_before") + local).alias(name), "_entities")
+        names = [*names, name]
+    return out
 
 
 @operator("rfm")
@@ -234,7 +225,7 @@ def rfm(df: DataFrame, id_field: str, date_field: str, value_field: str, bins: i
     """Recency, frequency and money scores of entities, and segments of them.
 
     A high score is good: recent, often, much. ``score_orientation="reference"`` turns the scores round. Ties are
-    ordered by id. Ranks are computed range by range, so no task sees all entities.
+    ordered by id. Ranks are computed range by range, so no task sees all entities; this runs when the operator is called.
     """
     need(df, id_field, date_field, value_field)
     if bins < 2 or score_orientation not in ("documented", "reference"):
@@ -246,7 +237,8 @@ def rfm(df: DataFrame, id_field: str, date_field: str, value_field: str, bins: i
     n = F.col("_entities")
     turn = -1 if score_orientation == "reference" else 1
     keys = {"r_rank": F.col("recency") * -turn, "f_rank": F.col("frequency") * turn, "m_rank": F.col("monetary") * turn}
-    per = global_ranks(per, {name: (key, F.col("id")) for name, key in keys.items()})
+    keyed = per.select("*", *(k.alias(f"_k_{name}") for name, k in keys.items()))
+    per = global_ranks(keyed, {name: (f"_k_{name}", "id") for name in keys})
     score = lambda rank: F.least(F.greatest(F.ceil((F.col(rank) / n) * bins), F.lit(1)), F.lit(bins)).cast("int")
     high, low = 0.6 * bins, 0.4 * bins
     per = per.withColumn("r", score("r_rank")).withColumn("f", score("f_rank")).withColumn("m", score("m_rank"))

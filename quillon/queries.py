@@ -137,6 +137,12 @@ def srm_check_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(srm_check(_arms(spark, sf), "arm", unit_field="user_id", expected_ratio={"A": 1, "B": 1})["rows"], chi_square_contribution=6)
 
 
+@query(f"WITH u AS (SELECT user_id, min(arm) AS variant FROM ({_ARMS}) GROUP BY 1), c AS (SELECT variant, count(*)::DOUBLE AS o, sum(count(*)) OVER () * 0.5::DOUBLE AS e FROM u GROUP BY 1) SELECT round(sum((o - e) * (o - e) / e), 6) AS chi_square, 1 AS df, 0::BIGINT AS cross_assigned, CASE WHEN sum((o - e) * (o - e) / e) <= 10.827566 THEN 'pass' ELSE 'block' END AS verdict FROM c")
+def srm_check_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = srm_check(_arms(spark, sf), "arm", unit_field="user_id", expected_ratio={"A": 1, "B": 1})["summary"]
+    return rounded(s.select("chi_square", "df", "cross_assigned", "verdict"), chi_square=6)
+
+
 def _pre_post(spark: SparkSession, sf: str) -> DataFrame:
     half = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
     return _arms(spark, sf).groupBy("user_id", "arm").agg(F.sum(F.when(half, F.col("value")).otherwise(0.0)).alias("pre"), F.sum(F.when(half, 0.0).otherwise(F.col("value"))).alias("post"))
