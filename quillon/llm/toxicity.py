@@ -26,7 +26,7 @@ MAX_PER_CLASS, MAX_WINDOWS = 1000, 8
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 16, 8
 GRAM_BUCKETS, GRAM_SIZES, MIN_TEXTS = 4096, (3, 4), 4
-EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 600, 128, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 400, 128, 0.01
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.5
 RUN_WINDOWS = 1024
 
@@ -47,9 +47,9 @@ class Words:
         del place, buf
         chars[begin[:-1]] = 1
         chars[begin[1:] - 1] = 2
-        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
         left = np.repeat(begin[1:].astype(np.int32), size) - np.arange(n, dtype=np.int32)
-        grams, owners = [], []
+        # for each size of n-gram: the buckets, and where each word's begin
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         for k in GRAM_SIZES:
             fits = np.flatnonzero(left >= k).astype(np.int32)
             h = np.zeros(len(fits), dtype=np.uint32)
@@ -57,13 +57,8 @@ class Words:
                 h = (h ^ chars[fits + j]) * np.uint32(0x01000193) + np.uint32(k)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
-            grams.append(((h >> np.uint32(16)) & np.uint32(GRAM_BUCKETS - 1)).astype(np.int32))
-            owners.append(owner[fits])
-            del h, fits
-        owners, grams = np.concatenate(owners), np.concatenate(grams)
-        order = np.argsort(owners, kind="stable")
-        self.grams = grams[order]
-        self.gram_at = np.searchsorted(owners[order], np.arange(len(size) + 1))
+            at = np.concatenate(([0], np.cumsum(np.maximum(size - (k - 1), 0))))
+            self.grams.append((((h >> np.uint32(16)) & np.uint32(GRAM_BUCKETS - 1)).astype(np.int32), at))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows, WINDOW) word indices, -1 beyond a text's end, and each window's text. A text without words has none."""
@@ -115,16 +110,20 @@ class Network:
         return np.where(self.known[at] == words.hashes, at + 1, 0) if len(self.known) else np.zeros(len(words.hashes), np.int64)
 
     def inputs(self, words: Words, pick: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Input vectors of the picked distinct words."""
-        size = words.gram_at[pick + 1] - words.gram_at[pick]
-        at = np.concatenate(([0], np.cumsum(size)))
-        flat = words.grams[np.arange(at[-1]) - np.repeat(at[:-1] - words.gram_at[pick], size)]
-        some = np.maximum(size, 1)[:, None].astype(np.float32)
+        """Input vectors of the picked distinct words; and, to go back, the n-grams and how many each word has of each size."""
         total = np.zeros((len(pick), CHAR_DIM), np.float32)
-        full = np.flatnonzero(size)
-        if len(full):
-            total[full] = np.add.reduceat(self.p["char"][flat], at[:-1][full], axis=0)
-        return np.concatenate((self.p["word"][ids[pick]], total / some), axis=1), (flat, size, some)
+        used, count = [], np.zeros(len(pick), np.int64)
+        for grams, at in words.grams:
+            size = at[pick + 1] - at[pick]
+            begin = np.concatenate(([0], np.cumsum(size)))
+            flat = grams[np.arange(begin[-1]) - np.repeat(begin[:-1] - at[pick], size)]
+            full = np.flatnonzero(size)
+            if len(full):
+                total[full] += np.add.reduceat(self.p["char"][flat], begin[:-1][full], axis=0)
+            used.append((flat, size))
+            count += size
+        some = np.maximum(count, 1)[:, None].astype(np.float32)
+        return np.concatenate((self.p["word"][ids[pick]], total / some), axis=1), (used, some)
 
     def forward(self, gates: np.ndarray, rows: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logits of windows. ``gates``: (2, words, 3 * HIDDEN) input parts; ``rows``: indices into words, -1 for none."""
@@ -172,6 +171,7 @@ class Network:
         d_hs += d_a @ p["wa"].T
         d_hs = np.stack((d_hs[..., :h], d_hs[..., h:]))
         g["uh"], d_gates = np.zeros_like(p["uh"]), np.zeros_like(gates)
+        d_in = np.empty((2, WINDOW, hs.shape[1], 3 * h), gates.dtype)
         d_state = np.zeros((2, hs.shape[1], h), np.float32)
         back = p["uh"].transpose(0, 2, 1)
         for t in range(WINDOW - 1, -1, -1):
@@ -187,9 +187,14 @@ class Network:
             d_u = np.concatenate((d_z, d_r, d_c * r), axis=2)
             g["uh"] += state.transpose(0, 2, 1) @ d_u
             d_state = d_new * z + d_u @ back + through
-            d_x = np.concatenate((d_z, d_r, d_c), axis=2)
             for k in (0, 1):
-                np.add.at(d_gates[k], safe[:, both[k]], d_x[k])
+                np.concatenate((d_z[k], d_r[k], d_c[k]), axis=1, out=d_in[k, both[k]])
+        # sums by word: places in the order of their words, then runs of equal ones
+        word = safe.T.ravel()
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) > 0)))
+        for k in (0, 1):
+            d_gates[k, word[order][first]] = np.add.reduceat(d_in[k].reshape(len(word), 3 * h)[order], first, axis=0)
         return g, d_gates
 
     def logits(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +261,7 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
             shift = int(used[0] == -1)
             pick, local = used[shift:], inverse.reshape(len(batch), WINDOW) - shift
             own = np.where(rng.random(len(ids)) < 0.3, 0, ids)  # words unseen later have to be told by their characters
-            x, (flat, size, some) = net.inputs(words, pick, own)
+            x, (grams, some) = net.inputs(words, pick, own)
             gates = x @ net.p["wx"] + net.p["b"]
             z, kept = net.forward(gates, local, keep=True)
             target = y[owner[batch]]
@@ -266,7 +271,8 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
             d_x = (d_gates @ net.p["wx"].transpose(0, 2, 1)).sum(axis=0)
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
             np.add.at(g["word"], own[pick], d_x[:, :WORD_DIM])
-            np.add.at(g["char"], flat, np.repeat(d_x[:, WORD_DIM:] / some, size, axis=0))
+            for flat, size in grams:
+                np.add.at(g["char"], flat, np.repeat(d_x[:, WORD_DIM:] / some, size, axis=0))
             step += 1
             for k, v in net.p.items():
                 m, s = moments[k]
