@@ -248,3 +248,32 @@ def test_registry():
     assert len(load()) == 17
     with pytest.raises(InputError):
         run("nothing")
+
+
+def test_contribution_of_a_published_case(spark):
+    rows = [("base", "UK", 766233.1733333333), ("base", "other", 158586.93333333332), ("now", "UK", 1258370.8800000001), ("now", "other", 168216.66)]
+    r = run("contribution", spark.createDataFrame(rows, "period string, region string, revenue double"), {"group_field": "region", "value_field": "revenue", "current_filter": {"period": "now"}, "baseline_filter": {"period": "base"}})
+    got = {x["group"]: x for x in r["rows"].collect()}
+    assert one(r)["gap"] == pytest.approx(501767.4333333331)
+    assert got["UK"]["share_of_gap"] == pytest.approx(0.9808083864616431) and got["UK"]["evidence_id"] == "C-001"
+    assert got["other"]["delta"] == pytest.approx(9629.726666666684) and got["other"]["evidence_id"] == "C-002"
+
+
+def test_row_order_does_not_matter(spark):
+    t0 = datetime(2026, 1, 1)
+    rows = [(u, "abcd"[(u * 7 + i) % 4], t0 + timedelta(hours=i // 2), (u + i) % 5 == 0, float(i)) for u in range(40) for i in range(9)]
+    df = spark.createDataFrame(rows, "uid long, step string, ts timestamp, conv boolean, value double").withColumn("conv", F.col("conv").cast("int"))
+    for op, config, name in (
+        ("attribution", {"id_field": "uid", "channel_field": "step", "timestamp_field": "ts", "conversion_field": "conv", "value_field": "value"}, "rows"),
+        ("path_analysis", {"id_field": "uid", "step_field": "step", "timestamp_field": "ts", "session_gap_minutes": 30}, "paths"),
+        ("rfm", {"id_field": "uid", "date_field": "ts", "value_field": "value"}, "entities"),
+    ):
+        a, b = (sorted(map(repr, ([round(v, 6) if isinstance(v, float) else v for v in r] for r in run(op, d, config)[name].collect()))) for d in (df, df.orderBy(F.rand(5)).repartition(7)))
+        assert a == b, op
+
+
+def test_rows_of_one_entity_in_many_sessions(spark):
+    t0 = datetime(2026, 1, 1)
+    rows = [(1, "s", t0 + timedelta(hours=i)) for i in range(500)]
+    r = run("path_analysis", spark.createDataFrame(rows, "uid long, step string, ts timestamp"), {"id_field": "uid", "step_field": "step", "timestamp_field": "ts", "session_gap_minutes": 30, "terminal_steps": ["s"]})
+    assert one(r)["sequences"] == 500 and one(r)["terminal_reach_rate"] == 1
