@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,23 @@ def scratch_dir(spark: SparkSession) -> str:
     Where that is unset (tests, notebooks), the warehouse takes its place, which a cluster shares too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder, wherever its file system is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this driver. Results that were not written elsewhere can't be read afterwards."""
+    for path in list(_SCRATCH):
+        remove(spark, path)
 
 
 def stash(df: DataFrame, where: str | None = None) -> DataFrame:
