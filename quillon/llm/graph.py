@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import stash
+from quillon.runtime import remove, scratch_dir, stash
 
 MAX_ROUNDS = 60
 
@@ -17,7 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     about the logarithm of their length. Rounds are written to shared storage; nothing but a count reaches the driver.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
-    edges = stash(edges)
+    spark, where = links.sparkSession, scratch_dir(links.sparkSession)
+    edges = stash(edges, where)
     before = None
     for _ in range(MAX_ROUNDS):
         # large star: neighbours above a node go to the smallest node in its neighbourhood
@@ -27,7 +28,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        last, where = where, scratch_dir(spark)
+        edges = stash(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), where)
+        remove(spark, last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
