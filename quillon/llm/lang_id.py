@@ -201,9 +201,9 @@ def _loss(s: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> LanguageModel:
     """Fits on documents with a language outside the held-out fold."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD))
+    usable = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD))
     ids, _ = bounded_sample(usable.select("doc_id", "lang"), "lang", most)
-    rows = texts_of(usable, ids, ["doc_id", "lang", "text"])
+    rows = texts_of(usable.where(F.col("text").isNotNull()), ids, ["doc_id", "lang", "text"])
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
