@@ -5,12 +5,15 @@
 2. Within a band, every class that shares a bucket is tied to the bucket's smallest class: two numbers for each
    class and band, never pairs. Classes tied together, over all bands, are a cluster; two similar classes
    share a bucket but with probability (1 - t**ROWS)**BANDS, 2e-7 at t = 0.75, so links do not leave clusters.
-3. A cluster is cut into parts of bounded size and handed out as tiles of two parts, each tile one unit of work. In a
-   tile, signatures are compared in batches; after each batch a pair whose similarity is below the threshold with
+3. Work is handed out in tiles of bounded size. A cluster that fits is one tile. In a larger one, members are first held
+   against the heads of their buckets alone, some members a tile: this joins groups of near copies of any size with
+   work in proportion to their rows. Only members outside the cluster's largest component then meet the others, part
+   by part. (If most of a large cluster is alike but not linked, that is still all of its pairs: only looking tells.)
+4. In a tile, signatures are compared in batches; after each batch a pair whose similarity is below the threshold with
    posterior probability over 1 - MISS is dropped, and what is left is verified on full shingle sets. Pairs
    already joined in the tile are skipped, and a tile returns the links of a spanning forest only, so
    what leaves a tile grows with its rows and not with its pairs.
-4. Components of the links, over tiles, label all rows.
+5. Components of the links, over tiles, label all rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BANDS, ROWS = 40, 4
 BATCH, MISS = 16, 1e-7
 #: A part of a cluster holds about this many documents or bytes of text.
 PART_ROWS, PART_BYTES = 512, 4 << 20
+#: Members that meet a bucket's head in one tile.
+STAR_ROWS = 64
 #: Ids up to this many (16 MB) are sent to all executors to pick documents; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -110,7 +115,7 @@ class Forest:
 
 
 def verified_links(sets: list[np.ndarray], side: np.ndarray, same: bool, minhash: MinHash, gates: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links between parts 0 and 1 of a tile, or inside the one part if ``same``.
+    """A spanning forest of the exact links between sides 0 and 1 of a tile, or of all with all if ``same``.
 
     Texts of a part are compared with a row of others at a time, so memory stays at a few rows of numbers.
     """
@@ -180,6 +185,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = []
         for _, docs in blocks([h[3] for h in held]):
             sets += shingle_sets(docs)[0]
+        # pb below 0 is no part's number: such tiles hold two sides against each other
         first, second = held[0][0][1:]
         found = verified_links(sets, np.asarray([h[2] for h in held]), first == second, minhash, gates)
         return [(ids[a], ids[b]) for a, b in found]
@@ -224,21 +230,57 @@ def ties(reps: DataFrame) -> DataFrame:
     return rows.join(heads.select("bucket", "head"), "bucket").where(F.col("id") != F.col("head")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def links(docs: DataFrame, reps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b): verified links that join all similar classes of ``reps``; a spanning forest of each tile."""
-    clusters = connected_components(ties(reps))
-    members = stash(clusters.join(reps.select("id", "n_bytes"), "id"))
-    # parts by a hash of the id: their sizes vary a little around the bound
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n_bytes") / PART_BYTES)).cast("int").alias("_parts"))
-    placed = stash(members.join(sizes, "component").select("id", F.col("component").alias("cluster"), "_parts", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_part")))
-    few = placed.count() <= BROADCAST_IDS
+def _found(docs: DataFrame, rows: DataFrame, doc: str, text: str) -> DataFrame:
+    """The links of tiles: ``rows`` has cluster, pa, pb, id and side, and documents bring their texts to it."""
+    rows = stash(rows.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("pa").cast("int").alias("pa"), F.col("pb").cast("int").alias("pb"), F.col("id").cast("bigint").alias("id"), F.col("side").cast("int").alias("side")))
+    few = rows.count() <= BROADCAST_IDS
     texts = docs.select(F.col(doc).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    held = texts.join(F.broadcast(placed) if few else placed, "id")
-    # part i meets parts i..n-1 as the first and 0..i as the second; a part meets itself once
-    span = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(F.col("_part"), j).alias("pa"), F.greatest(F.col("_part"), j).alias("pb"), F.when(j < F.col("_part"), 1).otherwise(0).alias("side")))
-    tiles = held.select("id", "cluster", "text", F.explode(span).alias("t")).select("cluster", "t.pa", "t.pb", "id", "t.side", "text")
+    tiles = texts.join(F.broadcast(rows) if few else rows, "id").select("cluster", "pa", "pb", "id", "side", "text")
     tiles = tiles.repartition("cluster", "pa", "pb").sortWithinPartitions("cluster", "pa", "pb", "id")
-    return tiles.mapInArrow(_tiles, "a long, b long")
+    return stash(tiles.mapInArrow(_tiles, "a long, b long").where(F.col("a") != F.col("b")))
+
+
+def _parts(count, size):
+    """How many parts so many rows and bytes are cut into."""
+    return F.greatest(F.ceil(count / PART_ROWS), F.ceil(size / PART_BYTES), F.lit(1)).cast("int")
+
+
+def _part(parts, seed: int = 0):
+    """A row's part, by a hash of the id: parts vary a little around their bound."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), parts).cast("int")
+
+
+def links(docs: DataFrame, reps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b): verified links that join all similar classes of ``reps``."""
+    tied = stash(ties(reps))
+    members = stash(connected_components(tied).withColumnRenamed("component", "cluster").join(reps.select("id", "n_bytes"), "id"))
+    sizes = members.groupBy("cluster").agg(_parts(F.count(F.lit(1)), F.sum("n_bytes")).alias("parts"))
+    members = stash(members.join(sizes, "cluster"))
+    whole = members.where(F.col("parts") == 1).select("cluster", F.lit(0).alias("pa"), F.lit(0).alias("pb"), "id", F.lit(0).alias("side"))
+    large = members.where(F.col("parts") > 1)
+    if large.isEmpty():
+        return _found(docs, whole, doc, text)
+
+    # members of large clusters and the heads of their buckets; pb -1 sets these tiles apart
+    spokes = tied.join(large.select(F.col("id").alias("a")), "a").withColumnsRenamed({"a": "id", "b": "head"})
+    many = spokes.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("chunks"))
+    spokes = spokes.join(many, "head").withColumn("pa", _part(F.col("chunks")))
+    star = spokes.select(F.col("head").alias("cluster"), "pa", F.lit(-1).alias("pb"), "id", F.lit(1).alias("side"))
+    heads = many.select(F.col("head").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("pa"), F.lit(-1).alias("pb"), F.col("head").alias("id"), F.lit(0).alias("side"))
+    first = _found(docs, whole.unionByName(star).unionByName(heads), doc, text)
+
+    # what the heads have not joined to a cluster's largest component meets all of the cluster
+    joined = connected_components(first.join(large.select(F.col("id").alias("a")), "a", "left_semi"))
+    large = stash(large.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    by = large.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = by.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    rest = large.join(main, "cluster").where(F.col("component") != F.col("main"))
+    some = rest.groupBy("cluster").agg(_parts(F.count(F.lit(1)), F.sum("n_bytes")).alias("few"))
+    # part i of the rest and part j of all; pb from -2 down
+    left = rest.join(some, "cluster").select("cluster", _part(F.col("few"), 1).alias("pa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "id", F.lit(0).alias("side"))
+    right = large.join(some, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("pa"), _part(F.col("parts"), 2).alias("j"), "id", F.lit(1).alias("side"))
+    both = left.unionByName(right).withColumn("pb", -F.col("j") - 2)
+    return first.unionByName(_found(docs, both, doc, text))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -64,6 +64,7 @@ def test_against_brute_force(spark, seed):
 def test_parts_of_large_clusters(spark, monkeypatch):
     """A cluster in many tiles has the same links as in one."""
     monkeypatch.setattr(dedup, "PART_ROWS", 4)
+    monkeypatch.setattr(dedup, "STAR_ROWS", 2)
     monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
     docs = corpus(3)
     df = spark.createDataFrame(docs, "doc_id long, text string")
