@@ -19,7 +19,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     spark, where = links.sparkSession, scratch_dir(links.sparkSession)
     edges = stash(edges, where)
-    before = None
     for _ in range(MAX_ROUNDS):
         # large star: neighbours above a node go to the smallest node in its neighbourhood
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,10 +30,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         last, where = where, scratch_dir(spark)
         edges = stash(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), where)
         remove(spark, last)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done once all are stars: no node has two links down, and none with a link down has one from above
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        open_ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where((F.col("down") > 1) | (F.col("down") + F.col("up") > 1))
+        if open_ends.isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
