@@ -84,9 +84,17 @@ def word_spans(docs: list[bytes], separators: np.ndarray = SPACES, latin: bool =
         buf = np.where(capital, buf + np.uint8(32), buf)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], separators[buf])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _POWERS.of(len(buf))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[buf] * up)))
-    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH_SALT)
+    # runs of whole words of bounded length: a hash does not depend on where its word stands
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + BLOCK_BYTES, "right")))
+        run, s, e = buf[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a
+        up, down = _POWERS.of(len(run))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[run] * up)))
+        hashes[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _LENGTH_SALT)
+        i = j
     at = np.cumsum([0, *(len(d) + 1 for d in docs)])
     return buf, starts, ends, hashes, np.searchsorted(starts, at)
 
