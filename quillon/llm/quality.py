@@ -1,7 +1,8 @@
 """Quality classifier by compression: zstandard dictionaries of good text and of bad text.
 
-Each text is compressed with both. How much smaller it gets with the good one, over its own size, is the
-normalised compressed-size difference. Dictionaries vary with the texts that build them, so the difference is summed
+Each text is compressed with both, in pieces of CHUNK_BYTES that each start from the dictionary alone: a long text's own
+history would else take the dictionary's place and its later parts would not count. How much smaller the pieces get with
+the good one, over the text's size, is the normalised compressed-size difference. Dictionaries vary with the texts that build them, so the difference is summed
 over PAIRS pairs, each from other draws of the sample. A rising curve (isotonic regression, straight
 between its steps), fitted on labelled texts that built no dictionary and weighted to the classes' shares in all
 labelled rows, turns it into the probability of label 1.
@@ -23,6 +24,8 @@ from quillon.runtime import ship_package, table
 #: The classifier is fitted on at most about this many labelled texts of each class.
 MAX_PER_CLASS = 2400
 DICT_BYTES, PIECE_BYTES, PIECES, LEVEL = 262_144, 2000, 4, 3
+#: Texts are compressed in pieces of this size.
+CHUNK_BYTES = 4096
 PAIRS, DRAW = 3, 0.85
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.3
 
@@ -38,14 +41,16 @@ class CompressionModel:
         return self.__dict__ | {"_made": None}
 
     def difference(self, text: str | None) -> float:
-        """The sum over pairs of (size with the bad dictionary - size with the good one) / size; 0 for empty text."""
+        """The sum over pairs and pieces of (size with the bad dictionary - size with the good one), over the size; 0 for empty text."""
         if self._made is None:
             make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
             self._made = [(make(good), make(bad)) for good, bad in self.pairs]
         raw = text.encode("utf-8", "surrogatepass") if text else b""
         if not raw:
             return 0.0
-        return sum(len(bad.compress(raw)) - len(good.compress(raw)) for good, bad in self._made) / (len(raw) + 30)
+        whole = memoryview(raw)
+        pieces = (whole[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES))
+        return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces for good, bad in self._made) / (len(raw) + 30)
 
     def score(self, text: str | None) -> float:
         return float(np.interp(self.difference(text), self.at, self.curve))

@@ -119,6 +119,21 @@ def test_quality(spark):
     assert quality.score_quality(df, model).count() == 2 and quality.score_quality(df.limit(0), model).count() == 0
 
 
+def test_quality_of_long_texts_counts_all_parts():
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(1500)] for k in (0, 1, 2)}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    model = quality.fit(pd.DataFrame([(text(i % 2, 200), i % 2) for i in range(400)], columns=["text", "label"]), {0: 200, 1: 200})
+    for k, sign in ((0, -1), (1, 1)):
+        short = np.mean([model.difference(text(k, 600)) for _ in range(20)])
+        assert short * sign > 0
+        # as much a byte in a text of about a megabyte as in one of 4 kB
+        assert model.difference(text(k, 150_000)) == pytest.approx(short, rel=0.25)
+    # good text behind much that is neutral counts as it does before it
+    neutral, good = text(2, 60_000), text(1, 15_000)
+    assert model.difference(neutral + " " + good) == pytest.approx(model.difference(good + " " + neutral), rel=0.1)
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
     a, counts = bounded_sample(df, "y", 200)
