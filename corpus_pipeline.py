@@ -7,7 +7,7 @@ stage's documents to shared storage and the next one reads them from there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, dedup, lang_id, mixing, toxicity
@@ -45,19 +45,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, once."""
-    got = stash(dedup.near_duplicates(docs))
-    gone = got.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    again = stash(got.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("doc_id"))
+    """One document of each group stays: the one with the smallest id (none comes last), once.
+
+    Where an id is repeated or null, rows are told apart by numbers of their own, and decisions are on rows.
+    """
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
     if again.isEmpty():
-        return kept.select(*_columns(docs))
-    # rows that repeat an id, or have none: one of each text
-    again = again.withColumnRenamed("doc_id", "_again")
-    marked = kept.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    single = kept.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    first = marked.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("source"))).where(F.col("_n") == 1)
-    return single.select(*_columns(docs)).unionByName(first.select(*_columns(docs)))
+        gone = stash(dedup.near_duplicates(docs)).where(~F.col("kept")).select("doc_id")
+        return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*_columns(docs))
+    rows = stash(docs.withColumns({"_th": F.xxhash64("text"), "_node": F.monotonically_increasing_id()}))
+    got = dedup.near_duplicates(rows, "_node").select(F.col("doc_id").alias("_node"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "source", "_node")
+    firsts = rows.join(got, "_node").groupBy("component_id").agg(F.min(order).alias("_first"))
+    # texts without words are in no group: one of each for an id
+    kept = stash(firsts.groupBy("_first.doc_id", "_first._th").agg(F.min("_first").alias("_first")).select("_first._node"))
+    return rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "_node", "left_semi").select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

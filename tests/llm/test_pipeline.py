@@ -71,3 +71,20 @@ def test_repeated_and_null_rows(spark, tmp_path):
     assert corpus_pipeline.minhash_dedup(spark, empty, "").count() == 0 and corpus_pipeline.decontamination(spark, empty, str(tmp_path)).count() == 0
     assert corpus_pipeline.source_mix(spark, empty.drop("copy"), "").count() == 0
     assert corpus_pipeline.source_mix(spark, docs.drop("copy"), "").count() > 0
+
+
+def test_dedup_decides_on_rows(spark):
+    words = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    a, b, c, d, e = (words(k) for k in "abcde")
+    rows = [
+        (1, a), (5, a), (5, b),  # only one of 5's texts is a copy
+        (2, c), (None, c), (None, c + " more"),  # an equal and a near copy without an id
+        (7, d), (7, d + " more"),  # one id, near but unequal texts
+        (None, e), (None, e + " more"),
+        (8, None), (8, None), (8, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.minhash_dedup(spark, docs, "").collect()]
+    assert sorted(i or 0 for i, _ in kept) == [0, 0, 1, 2, 5, 7, 8, 8]
+    assert {(1, a), (2, c), (5, b), (8, None), (8, ""), (None, None)} <= set(kept)
+    assert len([t for i, t in kept if i is None and t and t.startswith(e)]) == 1
