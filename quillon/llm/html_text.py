@@ -27,6 +27,11 @@ STOP_WORDS = frozenset(
     "el los las y del una con por no lo su al como más o pero sus esta este son".split()
 )
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+#: Raw elements whose content is no markup: without an end tag they run to the page's end.
+PLAIN = frozenset("script style textarea title".split())
+#: What can stand in a head, and of this what has content.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+HEAD_RAW = frozenset("noframes noscript script style template title".split())
 DROPPED = frozenset("nav footer aside form menu dialog button".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
@@ -86,6 +91,27 @@ def _marks(name: str, attrs: str, inside_main: bool) -> bool:
     return False
 
 
+def _name(m: re.Match) -> tuple[str, bool]:
+    """A token's element, empty for other tokens, and whether it is an end tag."""
+    name = (m["name"] or re.match(r"/?([a-zA-Z][^\s/>]*)", m["odd"] or "/x")[1]).lower() if m["name"] or m["odd"] else ""
+    return name, m["end"] == "/" or (m["odd"] or "").startswith("/")
+
+
+def _head_end(html: str, at: int) -> int:
+    """Where a head with neither end tag nor body ends: at the first text or start tag that can't stand in it."""
+    while m := _TOKEN.search(html, at):
+        if html[at : m.start()].strip():
+            return at
+        name, ending = _name(m)
+        if m["cdata"] is not None or name and not ending and name not in HEAD:
+            return m.start()
+        at = m.end()
+        if name in HEAD_RAW and not ending:
+            stop = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
+            at = stop.end() if stop else len(html) if name in PLAIN else at
+    return at
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks of text in order, white space put right, none empty."""
     out: list[Block] = []
@@ -122,14 +148,18 @@ def blocks_of(html: str) -> list[Block]:
         if m["cdata"] is not None:
             parts.append(m["cdata"])
             continue
-        name = (m["name"] or re.match(r"/?([a-zA-Z][^\s/>]*)", m["odd"] or "/x")[1]).lower() if m["name"] or m["odd"] else ""
+        name, ending = _name(m)
         if not name:
             continue
-        ending = m["end"] == "/" or (m["odd"] or "").startswith("/")
         if name in RAW or name == "head":
             if not ending:
                 stop = re.compile(rf"</{re.escape(name)}\s*>|<body\b" if name == "head" else rf"</{re.escape(name)}[\s>]", re.I).search(html, at)
-                at = (stop.start() if stop and stop[0].lower().startswith("<body") else stop.end()) if stop else len(html)
+                if name == "head" and not stop:
+                    at = _head_end(html, at)
+                elif name != "head" and name not in PLAIN and (not stop or name in ("svg", "math", "iframe") and (m["attrs"] or "").rstrip().endswith("/")):
+                    stop = None  # nothing in it: its end tag is its own or is not there
+                else:
+                    at = (stop.start() if stop[0].lower().startswith("<body") else stop.end()) if stop else len(html)
                 if stop and html[at - 1 : at] != ">" and not stop[0].lower().startswith("<body"):
                     at = html.find(">", at) + 1 or len(html)
                 if name != "textarea" and name not in ("math", "svg"):

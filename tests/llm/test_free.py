@@ -98,6 +98,16 @@ def test_gradients():
             assert (up - down) / 2e-3 == pytest.approx(grad[at], rel=0.08, abs=3e-3)
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<html><head><title>t</title><script>'<p>'</script><meta charset=x>", "<head>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<iframe src='x'/>", "<iframe src='x'>", "<object data='x'>", "<canvas>", "<body><svg>"],
+)
+def test_raw_elements_without_end_do_not_swallow_the_page(before):
+    text = "It was the best of times and it was the worst of times, and we had all of it before us as they say in the book."
+    assert html_text.main_text(f"{before}<p>{text}</p>") == text
+    assert html_text.main_text(f"{before}<p>{text}</p><svg><text>no</text></svg>").startswith(text) or before in ("<body><svg>",)
+
+
 def test_quality(spark):
     rng = random.Random(3)
 
