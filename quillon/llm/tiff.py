@@ -181,32 +181,48 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, following
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages in order. A file that breaks the format raises ValueError at the page where it does."""
+def _each_page(data: bytes) -> Iterator[Page | ValueError]:
+    """The pages in order, for one that can't be read its error. The end is where the chain of directories is lost."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
+        yield ValueError("not a TIFF file")
+        return
     (at,) = struct.unpack_from(order + "I", data, 4)
     number, seen = 0, set()
     while at:
         if at in seen:
-            raise ValueError("the chain of directories has a loop")
+            yield ValueError("the chain of directories has a loop")
+            return
         seen.add(at)
+        following = 0
         try:
             tags, following = _directory(data, at, order)
             yield _page(data, tags, number, order)
+        except ValueError as e:
+            yield e
         except (struct.error, KeyError, IndexError, zlib.error) as e:
-            raise ValueError(f"page {number} is broken: {type(e).__name__} {e}") from e
+            error = ValueError(f"page {number} is broken: {type(e).__name__} {e}")
+            error.__cause__ = e
+            yield error
         number, at = number + 1, following
 
 
+def read_pages(data: bytes) -> Iterator[Page]:
+    """The pages in order. A file that breaks the format raises ValueError at the page where it does."""
+    for page in _each_page(data):
+        if isinstance(page, ValueError):
+            raise page
+        yield page
+
+
 def _page(data: bytes, tags: dict[int, tuple], number: int, order: str) -> Page:
     width, height = tags[256][0], tags[257][0]
     bits, samples = tags.get(258, (1,))[0], tags.get(277, (1,))[0]
     how, predictor = tags.get(259, (NONE,))[0], tags.get(317, (1,))[0]
-    if bits not in (8, 16) or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2):
+    if bits not in (1, 8, 16) or bits == 1 and (predictor != 1 or tags.get(266, (1,))[0] != 1) or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2):
         raise ValueError(f"{bits} bits, predictor {predictor} or separate planes are not supported")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    # samples of one bit get a byte each, 0 or 1
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     out = np.zeros((height, width, samples), dtype=kind)
     if 322 in tags:
         wide, tall, starts, counts = tags[322][0], tags[323][0], tags[324], tags[325]
@@ -219,7 +235,12 @@ def _page(data: bytes, tags: dict[int, tuple], number: int, order: str) -> Page:
         y, x = i // across * tall, i % across * wide
         rows = tall if 322 in tags else min(tall, height - y)
         raw = _decode(data[a : a + n], how)
-        part = np.frombuffer(raw, dtype=kind, count=rows * wide * samples).reshape(rows, wide, samples)
+        if bits == 1:
+            line = -(-wide * samples // 8)
+            packed = np.frombuffer(raw, dtype=kind, count=rows * line).reshape(rows, line)
+            part = np.unpackbits(packed, axis=1)[:, : wide * samples].reshape(rows, wide, samples)
+        else:
+            part = np.frombuffer(raw, dtype=kind, count=rows * wide * samples).reshape(rows, wide, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
         out[y : y + rows, x : x + wide] = part[: height - y, : width - x]
@@ -264,8 +285,8 @@ def write_page(pixels: bytes, width: int = WIDTH, compression: int = DEFLATE, pr
 def explode_pages(df: DataFrame, media: str) -> DataFrame:
     """One row for each page of the TIFF files in column ``media``, other columns repeated.
 
-    Null and broken files give one row with a null page and what is wrong in ``error`` (null for null). A name
-    of ``PAGE_TYPE`` that ``df`` has already is replaced.
+    Null files, and each page that can't be read, give one row with a null page and what is wrong in ``error`` (null
+    for null); pages before and after it are read. A name of ``PAGE_TYPE`` that ``df`` has already is replaced.
     """
     ship_package(df.sparkSession)
     from pyspark.sql.types import StructType
@@ -279,10 +300,11 @@ def explode_pages(df: DataFrame, media: str) -> DataFrame:
         for f in files:
             got = []
             if f is not None:
-                try:
-                    got += [(p.page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None) for p in read_pages(bytes(f))]
-                except ValueError as e:
-                    got.append((None,) * 8 + (str(e),))
+                for p in _each_page(bytes(f)):
+                    if isinstance(p, ValueError):
+                        got.append((None,) * 8 + (str(p),))
+                    else:
+                        got.append((p.page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None))
             out.append([dict(zip(new.names, g, strict=True)) for g in got or [(None,) * 9]])
         return pd.Series(out)
 

@@ -108,6 +108,27 @@ def test_raw_elements_without_end_do_not_swallow_the_page(before):
     assert html_text.main_text(f"{before}<p>{text}</p><svg><text>no</text></svg>").startswith(text) or before in ("<body><svg>",)
 
 
+def test_tiff_pages_beside_unreadable_ones(spark):
+    import struct
+
+    def file(pages):  # (width, height, bits, compression, planes, data)
+        out = b"II*\0" + struct.pack("<I", 8)
+        for i, (w, h, bits, how, planes, data) in enumerate(pages):
+            start = len(out) + 2 + 12 * 8 + 4
+            tags = [(256, w), (257, h), (258, bits), (259, how), (273, start), (278, h), (279, len(data)), (284, planes)]
+            following = start + len(data) if i < len(pages) - 1 else 0
+            out += struct.pack("<H", 8) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + struct.pack("<I", following) + data
+        return out
+
+    good, wrong = (2, 2, 8, 1, 1, b"abcd"), (2, 2, 8, 1, 2, b"abcd")
+    packed = (10, 2, 1, 32773, 1, b"\x03\xaa\x40\x0f\x80")
+    df = spark.createDataFrame([(1, bytearray(file([good, wrong, packed, (2, 2, 8, 99, 1, b"abcd"), good])))], "id long, media binary")
+    got = tiff.explode_pages(df, "media").collect()
+    assert [r["page"] for r in got] == [0, None, 2, None, 4] and [bool(r["error"]) for r in got] == [False, True, False, True, False]
+    assert bytes(got[0]["pixels"]) == bytes(got[4]["pixels"]) == b"abcd"
+    assert got[2]["bits"] == 1 and list(got[2]["pixels"]) == [1, 0, 1, 0, 1, 0, 1, 0, 0, 1, 0, 0, 0, 0, 1, 1, 1, 1, 1, 0]
+
+
 def test_quality(spark):
     rng = random.Random(3)
 
