@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import html_text, lang_id, quality, tiff, toxicity, urls
+from quillon.llm import lang_id, quality, tiff, toxicity, urls
 from quillon.llm.sampling import bounded_sample
 
 EN = "the and of to in is that it was for on are as with they this have from one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part".split()
@@ -98,16 +98,6 @@ def test_gradients():
             assert (up - down) / 2e-3 == pytest.approx(grad[at], rel=0.08, abs=3e-3)
 
 
-@pytest.mark.parametrize(
-    "before",
-    ["<html><head><title>t</title><script>'<p>'</script><meta charset=x>", "<head>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<iframe src='x'/>", "<iframe src='x'>", "<object data='x'>", "<canvas>", "<body><svg>"],
-)
-def test_raw_elements_without_end_do_not_swallow_the_page(before):
-    text = "It was the best of times and it was the worst of times, and we had all of it before us as they say in the book."
-    assert html_text.main_text(f"{before}<p>{text}</p>") == text
-    assert html_text.main_text(f"{before}<p>{text}</p><svg><text>no</text></svg>").startswith(text) or before in ("<body><svg>",)
-
-
 def test_tiff_pages_beside_unreadable_ones(spark):
     import struct
 
@@ -171,30 +161,6 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert a == bounded_sample(df.repartition(9), "y", 200)[0] and counts == {0: 4500, 1: 500} and 300 < len(a) < 500
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body>
-<header><h1>Site</h1></header><nav><ul><li><a href=x>One</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy the best of all of it now.</div>
-<article><header><h1>Title &amp; more</h1></header><p>The  first\n of&nbsp;the <b>paragraphs</b>.<br>Next line &eacute;&#233;&#xe9;.<p>x</p><ul><li>a point</li></ul>
-<div id="comments"><p>The reader said that it was one of the best.</p></div><aside>side</aside></article>
-<form><label>Name</label></form><footer>&copy; the owner of the site</footer></body></html>"""
-
-
-def test_html():
-    assert html_text.main_text(PAGE) == "Title & more\n\nThe first of the paragraphs. Next line ééé.\n\nx\n\na point"
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
-    assert html_text.main_text("<article><p>cut &am") == "cut &am" and html_text.main_text("<article><p>text</p><p") == "text"
-    assert html_text.main_text("<article>1 < 2 and 3 > 2</article>") == "1 < 2 and 3 > 2"
-    long = "The end of the story is that it was as good as any. " * 3
-    mixed = f"<div><p>{long}</p><p>short</p><p>{long}</p></div><div><a href=x>{long}</a></div><p>tail</p>"
-    assert html_text.main_text(mixed).split("\n\n") == [long.strip(), "short", long.strip()]
-    assert len(html_text.main_text("<article>" + "<p>the word of it</p>" * 50_000).split("\n\n")) == 50_000
-
-
-def test_html_frames(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
-    rows = html_text.extract(df).collect()
-    assert [r["n_chars"] for r in rows] == [len(r["text"]) for r in rows] and rows[1]["text"] == "" and len(rows) == 3
-
-
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule", "verdict"),
     [
@@ -250,10 +216,6 @@ def test_payload():
         assert len(p) % 192 == 0 and len(p) >= 192 and p.startswith(raw) and not p[len(raw) :].strip(b" ") and len(p) - len(raw) < 192 + (not raw)
 
 
-def test_scripts_do_not_hide_what_follows():
-    assert html_text.main_text("<article><script>x = \"<a href='\";</script><p>it's the text</p></article>") == "it's the text"
-
-
 def test_media_query(spark, tmp_path):
     import hashlib
     import zlib
