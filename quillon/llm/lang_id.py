@@ -2,7 +2,7 @@
 
 Texts become lower-case letters with single spaces for everything else. Each position starts one gram of each
 order, hashed into BUCKETS buckets; a gram's feature is its relative frequency times its inverse document
-frequency in the training texts. Weights are trained online with follow-the-regularised-leader and an elastic net
+frequency, counted over all texts of the learning folds. Weights are trained online with follow-the-regularised-leader and an elastic net
 (L1 keeps them sparse), and a temperature fitted on texts left out calibrates the probabilities. Scoring a
 text is one table lookup for each position, so whole texts are cheap.
 """
@@ -11,16 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.sampling import bounded_sample, fold, held_out, texts_of
+from quillon.llm.sampling import bounded_sample, fold, held_out, training_texts
 from quillon.runtime import ship_package, table
 
-#: The classifier is fitted on at most about this many texts of each language.
+#: The classifier is fitted on at most this many texts of each language.
 MAX_PER_LANGUAGE = 400
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.05, 2
@@ -31,17 +33,20 @@ BLOCK_CHARS = 1 << 19
 _GAP = np.full(3, 32, dtype=np.uint32)
 
 
-def _fold_table(size: int = 0x3000) -> np.ndarray:
-    """Lower-case letters for code points below ``size``; space for what is no letter."""
+def _fold_table(size: int = 0x20000) -> np.ndarray:
+    """Lower-case letters for code points below ``size``; combining marks stay, since words are spelt with them; space for the rest."""
     out = np.full(size, 32, dtype=np.uint32)
     for i in range(size):
         c = chr(i)
         if c.isalpha():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else ord(low[0])
+            out[i] = ord(c.lower()[0])
+        elif i >= 0x300 and category(c)[0] == "M":
+            out[i] = i
     return out
 
 
+#: Beyond the table, the planes of ideographs are letters and the rest is none.
+_LETTERS_TO = 0x40000
 _FOLD: list[np.ndarray] = []
 
 
@@ -55,7 +60,7 @@ def letters(text: str) -> np.ndarray:
         _FOLD.append(_fold_table())
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     small = cp < len(_FOLD[0])
-    cp = _FOLD[0][cp] if small.all() else np.where(small, _FOLD[0][np.where(small, cp, 32)], cp)
+    cp = _FOLD[0][cp] if small.all() else np.where(small, _FOLD[0][np.where(small, cp, 32)], np.where(cp < _LETTERS_TO, cp, 32).astype(np.uint32))
     space = cp == 32
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
@@ -150,8 +155,11 @@ def _pieces(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
-    """Trains on four texts of five and calibrates the temperature on the fifth."""
+def fit(texts: list[str], labels: list[str], seen: np.ndarray | None = None, total: int = 0, seed: int = 3) -> LanguageModel:
+    """Trains on four texts of five and calibrates the temperature on the fifth.
+
+    ``seen``: in how many of ``total`` texts each bucket occurs; without it, the given texts are counted.
+    """
     languages = sorted(set(labels))
     if len(languages) < 2:
         return LanguageModel(languages or [UNKNOWN], np.zeros((BUCKETS, max(1, len(languages))), np.float32), np.zeros(max(1, len(languages))))
@@ -161,10 +169,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
     left = [order[i] for i in range(len(order)) if i % 5 == 0] or cut
     rows = [(p, languages.index(labels[i])) for i in cut for p in _pieces(texts[i], rng) if has_letter(p)]
     feats = _features([r[0] for r in rows])
-    seen = np.zeros(BUCKETS)
-    for ids, _ in feats:
-        seen[ids] += 1
-    idf = np.log((1 + len(feats)) / (1 + seen)) + 1
+    if seen is None:
+        seen, total = count_grams(texts), len(texts)
+    idf = np.log((1 + total) / (1 + np.minimum(seen, total))) + 1
     k = len(languages)
     z, n, w = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
     zb, nb, bias = np.zeros(k), np.zeros(k), np.zeros(k)
@@ -199,16 +206,57 @@ def _loss(s: np.ndarray, y: np.ndarray) -> float:
     return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
 
+def count_grams(texts: list[str]) -> np.ndarray:
+    """In how many of the texts each bucket occurs."""
+    seen = np.zeros(BUCKETS)
+    for t in texts:
+        here = np.zeros(BUCKETS, dtype=bool)
+        here[grams(np.concatenate((letters(t), _GAP))).ravel()] = True
+        seen += here
+    seen[0] = 0
+    return seen
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket that a partition's texts have, and bucket 0 with how many texts there are."""
+    seen, total = np.zeros(BUCKETS), 0
+    for b in batches:
+        texts = [t for t in b.column(0).to_pylist() if t]
+        total += len(texts)
+        seen += count_grams(texts)
+    seen[0] = total
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some].astype(np.int64))], ["bucket", "n"])
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many texts of ``docs`` each bucket occurs, and how many texts there are; one row a bucket reaches the driver."""
+    ship_package(docs.sparkSession)
+    rows = docs.select(text).mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(BUCKETS)
+    for r in rows:
+        seen[r["bucket"]] = r["n"]
+    total, seen[0] = int(seen[0]), 0
+    return seen, total
+
+
 def train(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> LanguageModel:
-    """Fits on documents with a language outside the held-out fold."""
-    usable = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD))
-    ids, _ = bounded_sample(usable.select("doc_id", "lang"), "lang", most)
-    rows = texts_of(usable.where(F.col("text").isNotNull()), ids, ["doc_id", "lang", "text"])
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+    """Fits on documents with a language outside the held-out fold: weights on a bounded sample, gram frequencies on all.
+
+    An id with several languages or texts counts in each of its rows; repeated rows count once in the sample.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD)).select("doc_id", "lang", "text")
+    picks, _ = bounded_sample(usable.select("doc_id", "lang"), "lang", most)
+    rows = training_texts(usable, picks, most, "lang")
+    return fit(rows["text"].tolist(), rows["label"].tolist(), *document_frequencies(usable))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added or replaced; null and letterless texts are ``und`` with score 0."""
+    """``docs`` with lang_pred and score added or replaced; null and letterless texts are ``und`` with score 0.
+
+    Each row is judged alone, so repeated rows have equal results; a tie goes to the language that is first by code point.
+    An empty table gives no rows, and a model without languages says ``und``.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

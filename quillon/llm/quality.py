@@ -18,12 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.sampling import bounded_sample, fold, held_out, texts_of
+from quillon.llm.sampling import held_out, labelled_texts
 from quillon.runtime import ship_package, table
 
-#: The classifier is fitted on at most about this many labelled texts of each class.
+#: The classifier is fitted on at most this many labelled texts of each class.
 MAX_PER_CLASS = 2400
-DICT_BYTES, PIECE_BYTES, PIECES, LEVEL = 262_144, 2000, 4, 3
+DICT_BYTES, LEVEL = 262_144, 3
+#: Fewer texts or bytes of a class than these are too little to learn from: scores are the flat share of label 1.
+LEAST_TEXTS, LEAST_BYTES = 16, 8192
 #: Texts are compressed in pieces of this size.
 CHUNK_BYTES = 4096
 PAIRS, DRAW = 3, 0.85
@@ -71,29 +73,23 @@ def rising_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[floa
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    """A dictionary of pieces from all over the texts."""
-    pieces = []
-    for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        cut = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
-        step = max(1, len(cut) // PIECES)
-        pieces += cut[::step][:PIECES]
-    pieces = [p for p in pieces if len(p) >= 8]
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
-    except zstandard.ZstdError:  # too little text to choose from: its end is the dictionary
-        return b"".join(pieces)[-DICT_BYTES:]
+    """A dictionary from all of the texts, cut into the pieces that they are compressed in."""
+    whole = [t.encode("utf-8", "surrogatepass") for t in texts]
+    pieces = [raw[i : i + CHUNK_BYTES] for raw in whole for i in range(0, len(raw), CHUNK_BYTES)]
+    return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, pieces)) // 4), [p for p in pieces if len(p) >= 8]).as_bytes()
 
 
 def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 13) -> CompressionModel:
-    """From (text, label) rows and the classes' counts in all labelled rows. Without both classes, a flat 0.5."""
+    """From (text, label) rows and the classes' counts in all labelled rows.
+
+    Too few texts or bytes of a class to learn from, or none: a flat score, the share of label 1 (0.5 without labels).
+    """
     rows = rows[rows["text"].notna() & rows["label"].isin([0, 1])]
-    if rows["label"].nunique() < 2:
-        return CompressionModel([])
+    size = rows["text"].str.len().groupby(rows["label"]).agg(["size", "sum"])
+    if len(size) < 2 or (size["size"] < LEAST_TEXTS).any() or (size["sum"] < LEAST_BYTES).any():
+        return CompressionModel([], score=[(counts.get(1, 0) + 1) / (sum(counts.values()) + 2)])
     rows = rows.assign(part=rows.groupby("label").cumcount() % 4)
     build, check = rows[rows["part"] != 0], rows[rows["part"] == 0]
-    if build["label"].nunique() < 2:
-        build = check
     rng = np.random.default_rng(seed)
     texts = [build.loc[build["label"] == k, "text"].tolist() for k in (1, 0)]
     draw = lambda t: [t[i] for i in rng.permutation(len(t))[: max(1, int(DRAW * len(t)))]]
@@ -105,16 +101,15 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 13) -> Compressi
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_PER_CLASS) -> CompressionModel:
-    """Fits on labelled documents outside the held-out fold."""
-    usable = labels.where(F.col("quality").isin([0, 1]) & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD)).select("doc_id", "quality")
-    ids, counts = bounded_sample(usable, "quality", most)
-    label = {r["doc_id"]: r["quality"] for r in usable.where(F.col("doc_id").isin(ids)).collect()} if ids else {}
-    rows = texts_of(docs, ids, ["doc_id", "text"])
-    return fit(rows.assign(label=rows["doc_id"].map(label)), counts)
+    """Fits on labelled documents outside the held-out fold. An id with both labels counts in both classes."""
+    return fit(*labelled_texts(docs, labels, "quality", most, FOLDS, HELD_FOLD))
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:
-    """``docs`` with score added or replaced. Null and empty texts have a difference of 0 and its calibrated score."""
+    """``docs`` with score added or replaced. Null and empty texts have a difference of 0 and its calibrated score.
+
+    Each row is judged alone, so repeated rows have equal scores; a score of just THRESHOLD is good. An empty table gives no rows.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -4,12 +4,14 @@ A text's words are cut into overlapping windows that cover all of it. A word's i
 shared by all words that training saw rarely) beside the mean of its character n-gram embeddings, so
 unseen words with known parts count. Two gated recurrent layers read each window in both directions, attention pools
 their states, and a text's score comes from its highest window through a calibrated logistic curve. Everything is
-trained in numpy, on windows of a bounded sample; which windows of a toxic text are toxic is not labelled, so each
-epoch after the first trains on those that the network so far finds most toxic.
+trained in numpy, on a bounded sample of whole texts; which windows of a toxic text are toxic is not labelled, so the first
+epoch goes through all windows and each one after it through every text's most toxic window so far, the others of
+toxic texts that are taken for toxic and those of clean texts that are not yet surely clean.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,20 +19,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.sampling import bounded_sample, fold, held_out, texts_of
+from quillon.llm.sampling import held_out, labelled_texts
 from quillon.llm.shingles import NON_WORD, blocks, word_spans
 from quillon.runtime import ship_package, table
 
-#: The network is fitted on at most about this many labelled texts of each class, and windows of each text.
-MAX_PER_CLASS, MAX_WINDOWS = 1000, 8
+#: The network is fitted on at most this many labelled texts of each class.
+MAX_PER_CLASS = 1200
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 16, 8
 GRAM_BUCKETS, GRAM_SIZES, MIN_TEXTS = 4096, (3, 4), 4
-EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 400, 128, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 600, 128, 0.01
+#: Windows of clean texts with a logit below this have next to no gradient and wait.
+EASY = -4.0
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.5
 RUN_WINDOWS = 1024
 
 
+#: White space and punctuation beyond ASCII, and runs of letters too long for a word (scripts without spaces, encoded data),
+#: which are cut into overlapping pieces so that windows go over all of them.
+_GAPS = re.compile(r"[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u2e00-\u2e7f\u3000-\u3004\u3007-\u3020\u3030\ufe30-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+LONGEST, PIECE = 32, 16
+_LONG = re.compile(rf"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]{{{LONGEST},}}")
+
+
+def spaced(text: str | None) -> str | None:
+    """The text with its words set apart by ASCII alone."""
+    if not text:
+        return text
+    if not text.isascii():
+        text = _GAPS.sub(" ", text)
+    return _LONG.sub(lambda m: " ".join(m[0][i : i + PIECE] for i in range(0, len(m[0]) - PIECE // 2, PIECE // 2)), text)
+
+
 class Words:
     """The distinct words of some texts: hashes and n-gram buckets, and the texts as runs of indices into them."""
 
@@ -209,7 +229,7 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.empty)
-        for start, docs in blocks(texts):
+        for start, docs in blocks([spaced(t) for t in texts]):
             z, owner = self.logits(docs)
             if len(z):
                 best = np.full(len(docs), -np.inf)
@@ -236,7 +256,7 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
         net.offset = 4.0 if 1.0 in y else -4.0 if len(y) else 0.0
         return net
     fifth = rows.groupby("label").cumcount().to_numpy() % 5
-    docs = [t.encode("utf-8", "surrogatepass") for t in texts]
+    docs = [spaced(t).encode("utf-8", "surrogatepass") for t in texts]
     words = Words(docs)
     net = Network(_known_words(words))
     ids = net.word_ids(words)
@@ -245,13 +265,14 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     score = rng.random(len(all_rows)).astype(np.float32)
+    share = 1 / np.bincount(owner, minlength=len(texts))[owner]
     epochs = EPOCHS
     epoch = 0
     while epoch < epochs:
         order = np.lexsort((-score if epoch else rng.random(len(score)), owner))
-        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        first = np.concatenate(([True], np.diff(owner[order]) > 0))
         toxic = y[owner[order]] == 1
-        take = (fifth[owner[order]] != 0) & (rank < MAX_WINDOWS) & (~toxic | (epoch == 0) | (rank == 0) | (score[order] > 0))
+        take = (fifth[owner[order]] != 0) & (first | (epoch == 0) | (score[order] > np.where(toxic, 0.0, EASY)))
         chosen = rng.permutation(order[take])
         if not epoch:  # few texts are gone through more often
             epochs = max(EPOCHS, min(40, -(-LEAST_STEPS * BATCH // max(1, len(chosen)))))
@@ -266,6 +287,8 @@ def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
             z, kept = net.forward(gates, local, keep=True)
             target = y[owner[batch]]
             grad = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(batch)).astype(np.float32)
+            if not epoch:  # any of a toxic text's windows may be the toxic one: together they count as one
+                grad *= np.where(target == 1, share[batch], 1.0).astype(np.float32)
             g, d_gates = net.backward(grad, kept, gates)
             g["b"], g["wx"] = d_gates.sum(axis=1, keepdims=True), x.T @ d_gates
             d_x = (d_gates @ net.p["wx"].transpose(0, 2, 1)).sum(axis=0)
@@ -317,16 +340,15 @@ def _calibrate(net: Network, x: np.ndarray, y: np.ndarray, counts: dict[int, int
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_PER_CLASS) -> Network:
-    """Fits on labelled documents outside the held-out fold."""
-    usable = labels.where(F.col("toxic").isin([0, 1]) & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD)).select("doc_id", "toxic")
-    ids, counts = bounded_sample(usable, "toxic", most)
-    label = {r["doc_id"]: r["toxic"] for r in usable.where(F.col("doc_id").isin(ids)).collect()} if ids else {}
-    rows = texts_of(docs, ids, ["doc_id", "text"])
-    return fit(rows.assign(label=rows["doc_id"].map(label)), counts)
+    """Fits on labelled documents outside the held-out fold. An id with both labels counts in both classes."""
+    return fit(*labelled_texts(docs, labels, "toxic", most, FOLDS, HELD_FOLD))
 
 
 def score_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with score added or replaced. Null and empty texts and texts without words get the score of clean ones."""
+    """``docs`` with score added or replaced. Null and empty texts and texts without words get the score of clean ones.
+
+    Each row is judged alone, so repeated rows have equal scores; a score of just THRESHOLD is toxic. An empty table gives no rows.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

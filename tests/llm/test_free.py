@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lang_id, quality, tiff, toxicity, urls
-from quillon.llm.sampling import bounded_sample
+from quillon.llm.sampling import bounded_sample, label_counts, training_texts
 
 EN = "the and of to in is that it was for on are as with they this have from one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part".split()
 DE = "der die das und ist nicht ein eine ich du er sie wir ihr mit auf für von dem den des im zu zum zur auch nach über unter zwischen durch gegen ohne um bei aus seit wird werden wurde haben hat hatte sein war waren kann können muss müssen soll sollen möchte schön größe straße häuser wasser menschen jahre zeit leben arbeit".split()
@@ -136,6 +136,8 @@ def test_quality(spark):
     assert ((score >= 0.3) == test["label"]).mean() > 0.97
     assert all(0 <= model.score(t) <= 1 for t in (None, "", "x", "é" * 200_000))
     assert quality.fit(test.iloc[:0], {}).score("x") == 0.5
+    few = quality.fit(test.iloc[:10], {0: 1, 1: 7})
+    assert few.score("x") == few.score("") == pytest.approx(0.8)
     df = spark.createDataFrame([(1, None, 3), (2, "the and of to in", 3)], "doc_id long, text string, extra int")
     assert quality.score_quality(df, model).count() == 2 and quality.score_quality(df.limit(0), model).count() == 0
 
@@ -157,8 +159,45 @@ def test_quality_of_long_texts_counts_all_parts():
 
 def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
-    a, counts = bounded_sample(df, "y", 200)
-    assert a == bounded_sample(df.repartition(9), "y", 200)[0] and counts == {0: 4500, 1: 500} and 300 < len(a) < 500
+    ids = lambda d, most: sorted(tuple(r) for r in bounded_sample(d, "y", most)[0].collect())
+    a = ids(df, 200)
+    assert a == ids(df.repartition(9), 200) and set(ids(df.union(df), 200)) <= set(a) and bounded_sample(df, "y", 200)[1] == {0: 4500, 1: 500}
+    assert [sum(r[1] == k for r in a) for k in (0, 1)] == [200, 200] and len(ids(df, 100_000)) == 5000 and ids(df.limit(0), 5) == []
+
+
+def test_training_texts_are_bounded_and_whole(spark, monkeypatch):
+    from quillon.llm import sampling
+
+    rows = [(i, "ab"[i % 2], f"text {i} " * 20) for i in range(60)] + [(i, "a", None) for i in range(60, 70)] + [(0, "b", "two labels"), (2, "a", "x" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    picks, counts = bounded_sample(df.select("doc_id", "lang"), "lang", 20)
+    got = training_texts(df, picks, 20, "lang", most_bytes=3000)
+    assert counts == {"a": 41, "b": 31} and set(map(tuple, got[["doc_id", "label", "text"]].to_numpy())) <= set(rows)
+    assert got.groupby("label")["text"].apply(lambda t: t.str.len().sum()).max() <= 3000 and got.groupby("label").size().max() <= 20
+    again = training_texts(df.repartition(5), picks, 20, "lang", most_bytes=3000)
+    assert got.equals(again)
+    monkeypatch.setattr(sampling, "MOST_VALUES", 3)
+    assert label_counts(spark.range(50).selectExpr("cast(id as string) lang", "id"), "lang") == {"0": 1, "1": 1, "10": 1}
+
+
+def test_grams_count_in_all_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat", "the dog", None, "", "der Hund", "the cat"])]
+    seen, total = lang_id.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = lang_id.count_grams([t for _, t in rows if t])
+    assert total == 4 and (seen == want).all() and seen.max() >= 3
+    assert lang_id.document_frequencies(spark.createDataFrame([], "text string"))[1] == 0
+
+
+def test_letters():
+    show = lambda t: "".join(map(chr, lang_id.letters(t))).strip()
+    assert show("Ab\u3002c\uff01 \U0001f600D") == "ab c d" and show("\u0939\u093f\u0928\u094d") == "\u0939\u093f\u0928\u094d" and show("\U00020000!") == "\U00020000"
+
+
+def test_words_of_scripts_without_spaces():
+    assert toxicity.spaced("a\u00a0b\u3001c\u2014d") == "a b c d" and toxicity.spaced(None) is None
+    long = "\u65e5\u672c\u8a9e" * 40
+    pieces = toxicity.spaced(long).split()
+    assert all(len(p) <= toxicity.PIECE for p in pieces) and all(any(long[i : i + 8] in p for p in pieces) for i in range(len(long) - 8))
 
 
 @pytest.mark.parametrize(
