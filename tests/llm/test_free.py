@@ -223,8 +223,62 @@ def test_urls(spark, url, host, path, rule, verdict):
 
 def test_segments():
     m = urls.HostModel()
-    assert m.segment("casinowin") == ["casino", "win"] and m.segment("zzqzz") == ["zzqzz"] and m.segment("") == []
-    assert "".join(m.segment("thebestnewsxq")) == "thebestnewsxq"
+    for words in ("casino win", "mortgage loans", "movies online", "experts exchange", "wine cellar", "online poker room", "therapist finder", "zzqzz", "essex", "scam"):
+        assert m.segment(words.replace(" ", "")) == words.split()
+    assert m.segment("") == [] and "".join(m.segment("thebestnewsxq")) == "thebestnewsxq" and len(m.segment("steroidshop")) == 2
+    assert m.score("sextant-sailing.net", "/") < 0 and m.score("essexexpertsexchange.net", "/therapist") < 0 < m.score("onlinepokerroom.net", "/")
+    assert m.score("x.net", "/cheappills/now.html") > 0
+    own = urls.HostModel({"quorble": 50, "www": 900}, vocabularies=())
+    assert own.segment("quorblewww") == ["quorble", "www"]
+
+
+def test_names_are_learnt_from_labelled_texts(spark):
+    """Names of words that no seed list has, held out of training as names, are told by the documents with these words."""
+    rng = random.Random(6)
+    bad, clean = ["dolt", "oaf", "nitwit", "bozo"], ["parsley", "lantern", "meadow", "pebble"]
+    rows, labels = [], []
+    for i in range(200):
+        toxic = i % 2
+        rows.append((i, " ".join(rng.choices(EN, k=20) + rng.choices(bad if toxic else clean, k=6))))
+        labels.append((i, toxic))
+    pages = spark.createDataFrame([(1, "http://a-b.lantern.example.com/x"), (2, None), (3, "no"), (4, "http://lantern.net")], "page_id long, url string")
+    assert urls.host_parts(pages) == {"a": 1, "b": 1, "lantern": 2, "example": 1}
+    model = urls.train(pages, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for a in range(4):
+        for b in range(4):
+            assert model.segment(bad[a] + bad[b]) == [bad[a], bad[b]]
+            assert model.score(f"{bad[a]}{bad[b]}.net", "/") > 0 > model.score(f"{clean[a]}{clean[b]}.net", "/")
+    assert model.score("lantern.net", f"/{bad[0]}{bad[1]}/") > model.score("lantern.net", "/x/")
+    empty = urls.train(pages.limit(0), spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert empty.score("casinowin.net", "/") > 0 and urls.judge(pages.limit(0), model=empty).count() == 0
+
+
+def test_url_query_against_plain_python(spark):
+    """Hosts, paths, rules and verdicts of all pages."""
+    from quillon.runtime import table
+
+    sf = "/root/testdata/sf0.001"
+    pages = table(spark, sf, "pages").select("page_id", "url").collect()
+    got = {r["page_id"]: r for r in urls.op6_url_filter(spark, sf).collect()}
+    model = urls.train(table(spark, sf, "pages"), table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert len(got) == len(pages) and {r["verdict"] for r in got.values()} == {"allow", "block"}
+    for page in pages:
+        url = page["url"] or ""
+        rest = url[url.index("://") + 3 :] if "://" in url else ""
+        cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+        fits = [(len(d) + len(p), d + p, v) for v, d, p in urls.RULES if (host == d or host.endswith("." + d)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if model.score(host, path) >= 0 else "allow")
+        r = got[page["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+
+
+def test_urls_odd_rows(spark):
+    long = "http://" + "casinowin" * 20_000 + ".net/" + "cheappills/" * 20_000
+    df = spark.createDataFrame([(1, long, 1.0), (2, None, 1.0), (2, None, 1.0), (3, "", 1.0)], "page_id long, url string, score double")
+    rows = urls.judge(df).collect()
+    assert len(rows) == 4 and rows[0]["verdict"] == "block" and [r["verdict"] for r in rows[1:]] == ["allow"] * 3 and len(rows[0]["host"]) == 180_004
 
 
 @pytest.mark.parametrize("how", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
