@@ -1,28 +1,31 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The test side gives windows of ``width`` words, each a row of (item, number of words, terms). The training side is
-a positional index: one posting for each occurrence of an indexed term, with document, position and the
-words around it. A first pass counts in how many documents each test term occurs (collection
-statistics over all documents); each window is then looked up by its rarest term, so only those terms need
-postings. A posting, moved by the term's place in the window, is a candidate start, and the lists of the
-other terms are intersected at their own offsets by comparing the posting's surrounding words. Phrase matches
-need all terms in order; proximity matches need all terms, in any order, within ``slack`` words more.
-
-Test terms and windows come in blocks of at most BLOCK_WINDOWS windows, so that what is broadcast has a fixed bound
-however large the benchmark is; each block is a query set against all rows. No step groups more than one document.
+The training side becomes an index once: one pass over the texts writes a posting (term, document, position) for each
+word that the benchmark has too, clustered by term and salted by document, so that a common term's list lies in many files; each
+document's length is a posting of its own. The test side is a set of windows of ``width`` words. Terms are ranked by
+how many postings they have, and each window is looked up from its rarest term: those postings are its anchors. The
+list of the second rarest term is intersected with them next, moved by the distance of the two terms in the window (for
+proximity matches: anywhere within reach), which leaves few; around those, the lists of all other terms are intersected,
+from postings read by blocks of positions.
+
+A phrase match has all words of a window in order. A proximity match has all of them, each as often as the window, in any order
+within ``slack`` words more: around each anchor the shortest such span (the first of equally short ones) is returned. All is joins and
+aggregates of narrow rows. Tables are broadcast only up to a counted number of rows and joined by shuffle beyond; no
+step groups more than one document or one block of positions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.runtime import stash, table
 
-WIDTH = 10
-BLOCK_WINDOWS = 100_000
+WIDTH, SLACK = 10, 5
+#: Tables of up to this many narrow rows are sent to all executors.
+BROADCAST_ROWS = 200_000
+#: A term's postings are dealt to up to this many places.
+SALTS = 64
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for the end of a document; no word holds a control character.
@@ -49,102 +52,149 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", wid
     return held.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, width))).alias("terms")).distinct()
 
 
-def _doc_key(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """One document is a pair of id and text; repeated rows of both are counted and told apart again at the end."""
-    return docs.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("_th"), words(F.col(text)).alias("w"))
-
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def document_frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): in how many documents each of ``terms`` occurs. ``terms`` has to be of bounded size."""
-    found = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).join(F.broadcast(terms), "term", "left_semi")
-    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+def postings(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index (tid, d, pos, doc): where each of ``terms`` (term, tid) stands in each document.
 
-def rarest_terms(wins: DataFrame, df: DataFrame) -> DataFrame:
-    """(item_id, terms, term, place): each window's rarest term (ties: the first in order) and its place from 0."""
-    held = wins.withColumn("_w", F.monotonically_increasing_id())
-    places = held.select("item_id", "terms", F.posexplode("terms").alias("place", "term"))
-    known = places.join(df, "term")  # a window with a term that no document has does not occur
-    per = known.groupBy("item_id", "terms").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("df", "term", "place")).alias("m"))
-    return per.where(F.col("n") == F.size("terms")).select("item_id", "terms", F.col("m.term").alias("term"), F.col("m.place").alias("place"))
+    ``d`` numbers the rows of ``docs``, so repeated rows are told apart. Rows with tid -1 are the documents: pos is the
+    number of words and doc has doc_id and the hash of the text.
+    """
+    held = docs.select(F.monotonically_increasing_id().alias("d"), F.struct(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("_th")).alias("doc"), words(F.col(text)).alias("w"))
+    each = held.select("d", "doc", F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "term"))
+    ends = terms.sparkSession.createDataFrame([(_END, -1)], "term string, tid long")
+    found = each.join(_small(stash(terms.unionByName(ends))), "term").select("tid", "d", "pos", F.when(F.col("tid") < 0, F.col("doc")).alias("doc"))
+    return stash(found.repartition("tid", F.pmod(F.hash("d"), F.lit(SALTS))).sortWithinPartitions("tid", "d", "pos"))
 
 
-def lookup(docs: DataFrame, probes: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, slack: int | None = None) -> DataFrame:
-    """(doc_id, _th, end, item_id, start, n, exact): the matches of a bounded set of windows in all documents.
+def probes(wins: DataFrame, index: DataFrame) -> DataFrame:
+    """(win, n, tids, need, first, place, second, shift) for ``wins`` (win, tids): where to begin and how to go on.
 
-    ``exact``: the words stand there in order. With ``slack``, also places where all words of the window occur, in
-    any order, among that many words more (``exact`` false). Each document row has one more row whose item_id
-    is null and whose ``end`` is its number of words.
+    ``first`` is the window's rarest term by postings (ties: the smaller tid) and ``place`` its first place; ``second`` the rarest
+    of the others (null if all are one) and ``shift`` its first place less ``place``; ``need`` says how often each term is needed.
+    Windows with a term that no document has do not occur and are left out.
     """
-    # the end of a document is looked up like a term, so that one pass gives both matches and lengths
-    last = probes.sparkSession.createDataFrame([(None, None, _END, 0)], probes.schema)
-    ends = F.broadcast(probes.unionByName(last))
-    held = _doc_key(docs, doc, text).withColumn("_all", F.concat("w", F.array(F.lit(_END))))
-    post = held.select("doc_id", "_th", "w", F.posexplode("_all").alias("pos", "term")).join(ends, "term")
-    start, n = F.col("pos") - F.col("place"), F.size("terms")
-    is_end = F.col("term") == _END
-    exact = (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, n) == F.col("terms"))
+    often = index.where(F.col("tid") >= 0).groupBy("tid").agg(F.count(F.lit(1)).alias("often"))
+    places = wins.select("win", "tids", F.posexplode("tids").alias("place", "tid"))
+    terms = places.groupBy("win", "tids", "tid").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("k")).join(often, "tid")
+    per = terms.groupBy("win", "tids").agg(F.array_sort(F.collect_list(F.struct("often", "tid", "place", "k"))).alias("ts"), F.sum("k").alias("known"))
+    a, b = F.col("ts")[0], F.get(F.col("ts"), F.lit(1))
+    need = F.transform("ts", lambda t: F.struct(t["tid"].alias("tid"), t["k"].alias("k")))
+    return per.where(F.col("known") == F.size("tids")).select(
+        "win", F.size("tids").alias("n"), "tids", need.alias("need"), a["tid"].alias("first"), a["place"].alias("place"), b["tid"].alias("second"), (b["place"] - a["place"]).alias("shift")
+    )
+
+
+def _blocks_near(pos: Column, reach: Column, size: int) -> Column:
+    """The numbers of the blocks of ``size`` positions that lie within ``reach`` of one."""
+    at = lambda p: F.floor(F.greatest(p, F.lit(0)) / size).cast("int")
+    return F.sequence(at(pos - reach), at(pos + reach))
+
+
+def lookup(index: DataFrame, asked: DataFrame, width: int = WIDTH, slack: int | None = None) -> DataFrame:
+    """(win, d, start, n, exact): the phrase matches of ``asked`` (see ``probes``) and, with ``slack``, the proximity matches."""
+    lists = index.where(F.col("tid") >= 0).select("tid", "d", "pos")
+    size = 2 * (width + (slack or 0))
+    span = F.col("n") + (slack or 0)
+    anchors = lists.join(_small(asked.select("win", "n", F.col("first").alias("tid"), "place", "second", "shift")), "tid")
+    anchors = anchors.where(F.col("pos") >= F.col("place")) if slack is None else anchors
+    anchors = anchors.select("win", "n", "d", F.col("pos").alias("p"), "second", "shift")
+    # the second list, at its own offset or within reach
+    seconds = _small(stash(asked.where(F.col("second").isNotNull()).select(F.col("second").alias("tid")).distinct()))
+    other = lists.join(seconds, "tid", "left_semi").select(F.col("tid").alias("second"), "d", F.col("pos").alias("q"))
+    more = anchors.where(F.col("second").isNotNull())
     if slack is None:
-        found = exact
-        near = F.lit(False)
+        both = more.withColumn("q", F.col("p") + F.col("shift")).join(other, ["second", "d", "q"], "left_semi")
     else:
-        a = F.greatest(F.col("pos") - (n + slack - 1), F.lit(0))
-        around = F.slice("w", a + 1, 2 * (n + slack) - 1)
-        spans = F.sequence(F.lit(0), F.greatest(F.size(around) - 1, F.lit(0)))
-        near = F.exists(spans, lambda s: (a + s <= F.col("pos")) & (F.size(F.array_except("terms", F.slice(around, s + 1, n + slack))) == 0))
-        found = exact | near
-    post = post.where(is_end | found)
-    return post.select("doc_id", "_th", F.when(is_end, F.col("pos")).alias("end"), F.when(~is_end, F.col("item_id")).alias("item_id"), F.when(~is_end, start).alias("start"), F.when(~is_end, n).alias("n"), F.when(~is_end, exact).alias("exact"), is_end.alias("_is_end"))
+        more = more.withColumn("block", F.explode(_blocks_near(F.col("p"), span - 1, size)))
+        other = other.withColumn("block", F.floor(F.col("q") / size).cast("int"))
+        both = more.join(other, (more["second"] == other["second"]) & (more["d"] == other["d"]) & (more["block"] == other["block"]) & (F.abs(more["p"] - other["q"]) < span), "left_semi")
+    left = stash(both.unionByName(anchors.where(F.col("second").isNull()), allowMissingColumns=True).select("win", "n", "d", "p").distinct())
+
+    # all postings around what is left
+    at = left.select("win", "d", "p", F.explode(_blocks_near(F.col("p"), F.lit(size // 2), size)).alias("block"))
+    wanted = _small(stash(at.select("d", "block").distinct()))
+    around = lists.withColumn("block", F.floor(F.col("pos") / size).cast("int")).join(wanted, ["d", "block"])
+    around = around.groupBy("d", "block").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "tid")).alias("near"))
+    seen = at.join(around, ["d", "block"]).groupBy("win", "d", "p").agg(F.flatten(F.collect_list("near")).alias("near"))
+    seen = seen.join(_small(asked), "win")
+    start = F.col("p") - F.col("place")
+
+    def in_order(start: Column) -> Column:
+        """Whether the window's words stand in order from a position on: each list, moved by its place, has it."""
+        return F.size(F.array_except(F.transform("tids", lambda t, k: F.struct((start + k).cast("int").alias("pos"), t.alias("tid"))), F.col("near"))) == 0
+
+    seen = seen.withColumn("exact", in_order(start))
+    if slack is None:
+        return seen.where("exact").select("win", "d", start.alias("start"), "n", "exact")
+    own = F.filter("near", lambda x: F.array_contains(F.col("tids"), x["tid"]) & (F.abs(x["pos"] - F.col("p")) < span))
+    rest = seen.where(~F.col("exact")).withColumn("near", own)
+    rest = rest.where(F.size(F.array_except("tids", F.transform("near", lambda x: x["tid"]))) == 0)
+    from_to = F.flatten(
+        F.transform(
+            F.filter("near", lambda a: a["pos"] <= F.col("p")),
+            lambda a: F.transform(F.filter("near", lambda b: (b["pos"] >= F.col("p")) & (b["pos"] - a["pos"] < span)), lambda b: F.struct((b["pos"] - a["pos"] + 1).alias("n"), a["pos"].alias("start"))),
+        )
+    )
+    fits = F.filter(from_to, lambda s: F.forall("need", lambda t: F.size(F.filter("near", lambda x: (x["tid"] == t["tid"]) & (x["pos"] >= s["start"]) & (x["pos"] < s["start"] + s["n"]))) >= t["k"]))
+    close = rest.withColumn("best", F.array_min(fits)).where(F.col("best").isNotNull())
+    out = seen.where("exact").select("win", "d", start.alias("start"), "n", "exact")
+    close = close.select("win", "d", F.col("best.start").alias("start"), F.col("best.n").alias("n"), ((F.col("best.n") == F.col("n")) & in_order(F.col("best.start"))).alias("exact"))
+    return out.unionByName(close).distinct()
+
+
+def search(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, slack: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, matches): (d, doc_id, _th, n_words) for each row of ``docs``, and (d, item_id, start, n, exact) for its matches."""
+    wins = windows(benchmark, width=width)
+    held = stash(wins.groupBy("terms").agg(F.collect_set("item_id").alias("items")).withColumn("win", F.monotonically_increasing_id()))
+    terms = stash(held.select(F.explode("terms").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()))
+    index = postings(docs, terms, doc, text)
+    places = held.select("win", F.posexplode("terms").alias("place", "term")).join(terms, "term")
+    in_order = places.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("place", "tid"))).alias("ts"))
+    asked = stash(probes(in_order.select("win", F.transform("ts", lambda t: t["tid"]).alias("tids")), index))
+    found = lookup(index, asked, width, slack).join(_small(held.select("win", "items")), "win")
+    rows = index.where(F.col("tid") < 0).select("d", "doc.doc_id", "doc._th", F.col("pos").cast("bigint").alias("n_words"))
+    return rows, found.select("d", F.explode("items").alias("item_id"), "start", "n", "exact")
 
 
-def _blocks(wins: DataFrame) -> list[DataFrame]:
-    """The windows in blocks of bounded size."""
-    total = wins.count()
-    many = -(-total // BLOCK_WINDOWS)
-    if many <= 1:
-        return [wins]
-    return [wins.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(many)) == b) for b in range(many)]
+def matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, slack: int | None = None) -> DataFrame:
+    """(doc_id, item_id, start, n, exact): all phrase and, with ``slack``, proximity matches; repeated documents repeat theirs."""
+    rows, found = search(docs, benchmark, doc, text, width, slack)
+    return found.join(rows, "d").select("doc_id", "item_id", "start", "n", "exact")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, slack: int | None = None) -> DataFrame:
-    """All matches of all windows, as ``lookup`` gives them; the rows with lengths come once."""
-    wins = stash(windows(benchmark, width=width))
-    out = []
-    for b, part in enumerate(_blocks(wins)):
-        df = document_frequencies(docs, part.select(F.explode("terms").alias("term")).distinct(), text)
-        probes = stash(rarest_terms(part, df))
-        found = lookup(docs, probes, doc, text, width, slack)
-        out.append(found if b == 0 else found.where(~F.col("_is_end")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, _th) for each row of ``docs``.
-
-    A word is hit if it is inside an occurrence of a window. Null and empty texts have no words and no hits. Null
-    ids are kept; rows that agree in id and text have equal results and stay as many rows. An empty benchmark
-    contaminates nothing.
+def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, slack: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, _th) for each row of ``docs``.
+
+    A word is hit if it is inside a phrase match; ``n_near`` is the number of items with a phrase or proximity match (with
+    phrase matches alone where ``slack`` is null). Null and empty texts have no words and no hits. Null ids are kept;
+    repeated rows stay as many rows with equal results. Items that are null or have no words match nothing, equal items all count,
+    and an empty benchmark contaminates nothing. Other columns of ``docs`` are not looked at, whatever their names.
     """
-    got = matches(docs, benchmark, doc, text, width)
-    at = F.when(F.col("item_id").isNotNull() | ~F.col("_is_end"), F.struct("start", "n"))
-    per = got.groupBy("doc_id", "_th").agg(
-        F.max("end").alias("n_words"),
-        F.sum(F.when(F.col("_is_end"), 1).otherwise(0)).alias("_rows"),
-        F.collect_set(at).alias("_at"),
-        F.collect_set(F.when(~F.col("_is_end"), F.col("item_id").cast("string"))).alias("_items"),
+    rows, found = search(docs, benchmark, doc, text, width, slack)
+    item = F.col("item_id").cast("string")
+    per = found.groupBy("d").agg(
+        F.collect_set(F.when(F.col("exact"), F.struct("start", "n"))).alias("_at"),
+        F.collect_set(F.when(F.col("exact"), item)).alias("_items"),
+        F.count_distinct(item).alias("n_near"),
     )
     # starts in order: each adds what the one before it has not covered
     order = F.array_sort("_at")
     cover = F.aggregate(order, F.struct(F.lit(0).alias("hit"), F.lit(0).alias("to")), lambda acc, s: F.struct((acc["hit"] + F.greatest(s["start"] + s["n"] - F.greatest(acc["to"], s["start"]), F.lit(0))).alias("hit"), F.greatest(acc["to"], s["start"] + s["n"]).alias("to")))
-    out = per.select("doc_id", "_th", F.col("n_words").cast("bigint").alias("n_words"), cover["hit"].cast("bigint").alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), "_rows")
-    out = out.withColumn("contaminated", F.col("n_hit") > 0)
-    return out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_rows", "_row")
+    per = per.select("d", cover["hit"].cast("bigint").alias("n_hit"), F.array_sort("_items").alias("_items"), "n_near")
+    out = rows.join(per, "d", "left").withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    out = out.select("doc_id", "n_words", zero("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), zero("n_near"), "_th")
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against every benchmark item."""
+    """Every document against every benchmark item: phrases, and items near by with SLACK words between their own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("_th")
+    return contamination(docs, table(spark, sf_dir, "benchmark"), slack=SLACK).drop("_th")
 
 
 OP8_SQL = r"""
@@ -161,8 +211,28 @@ dg AS (
   FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM dw, lens WHERE len(w) >= n)
 ), hit AS (SELECT DISTINCT r, dg.n AS n, s, item_id FROM dg JOIN wins USING (n, gram)),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
-its AS (SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY r)
+its AS (SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY r),
+gr AS (SELECT gram, n, row_number() OVER () AS g FROM (SELECT DISTINCT gram, n FROM wins)),
+need AS (SELECT g, n, t, count(*) AS k FROM (SELECT g, n, unnest(string_split(gram, ' ')) AS t FROM gr) GROUP BY g, n, t),
+post AS (SELECT r, t, p FROM (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw) WHERE t IN (SELECT t FROM need)),
+tf AS (SELECT t, count(*) AS c FROM post GROUP BY t),
+rare AS (
+  SELECT g, any_value(n) AS n, list(t ORDER BY c, t) AS ts, count(*) AS m FROM need JOIN tf USING (t) GROUP BY g
+  HAVING count(*) = (SELECT count(*) FROM need x WHERE x.g = need.g)
+), anchor AS (SELECT g, n, m, r, p, ts[2] AS t2 FROM rare JOIN post ON t = ts[1]),
+close_by AS (
+  SELECT g, n, m, r, p FROM anchor WHERE m = 1
+  UNION SELECT a.g, a.n, a.m, a.r, a.p FROM anchor a JOIN post b ON b.r = a.r AND b.t = a.t2 AND abs(b.p - a.p) < a.n + 5
+), around AS (SELECT s.g, s.n, s.m, s.r, s.p, x.p AS q, x.t, d.k FROM close_by s JOIN need d ON d.g = s.g JOIN post x ON x.r = s.r AND x.t = d.t AND abs(x.p - s.p) < s.n + 5),
+full_ones AS (SELECT g, r, p FROM around GROUP BY g, r, p, m HAVING count(DISTINCT t) = m),
+spans AS (
+  SELECT g, r, p, a FROM (
+    SELECT b.g, b.r, b.p, b.m, a.q AS a, b.t, b.k, count(*) AS have
+    FROM around b JOIN full_ones USING (g, r, p) JOIN (SELECT DISTINCT g, r, p, q FROM around WHERE q <= p) a ON a.g = b.g AND a.r = b.r AND a.p = b.p AND b.q >= a.q AND b.q < a.q + b.n + 5
+    GROUP BY b.g, b.r, b.p, b.m, a.q, b.t, b.k
+  ) WHERE have >= k GROUP BY g, r, p, a, m HAVING count(*) = m
+), near AS (SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM (SELECT DISTINCT g, r FROM spans) JOIN gr USING (g) JOIN wins ON wins.gram = gr.gram AND wins.n = gr.n GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN near USING (r)
 """

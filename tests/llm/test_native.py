@@ -1,5 +1,8 @@
 """Chat formatting, mixing and decontamination: against SQL, and by their own properties."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -75,21 +78,57 @@ def test_empty_tables(spark, tmp_path):
     assert chat.digest(chat.format_turns(chat.turns_from_columns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "delta x alpha gamma beta"), (2, "alpha x x x x beta gamma delta")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    got = decontaminate.matches(docs, bench, width=4, slack=1).where(F.col("item_id").isNotNull()).collect()
-    assert {(r["doc_id"], r["exact"]) for r in got} == {(1, False)}
+def spans(text, item, width, slack):
+    """(start, n, exact) of one item by looking at all places."""
+    w, b = text.split(), item.split()
+    out = set()
+    for i in range(max(1, len(b) - width + 1)):
+        win = b[i : i + width]
+        out |= {(s, len(win), True) for s in range(len(w) - len(win) + 1) if w[s : s + len(win)] == win}
+        need = Counter(win)
+        for p in range(len(w)):
+            if w[p] not in need:
+                continue
+            fits = [(z - a, a) for a in range(p + 1) for z in range(p + 1, min(len(w), a + len(win) + slack) + 1) if not need - Counter(w[a:z])]
+            if fits:
+                n, a = min(fits)
+                out.add((a, n, w[a : a + n] == win))
+    return out
 
 
-def test_blocks_of_windows(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 2)
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string")
+def test_proximity(spark):
+    """With repeated words and at both ends, against all spans."""
+    rng = random.Random(8)
+    texts = ["delta x alpha gamma beta", "alpha x x x x beta gamma delta", "a b", "x a b a b y a", "a a a b", "b a a", "", "a"]
+    texts += [" ".join(rng.choice("a a b c d e f x y".split()) for _ in range(rng.choice((5, 30)))) for _ in range(40)]
+    items = ["alpha beta gamma delta", "a a a b", "a b", "c d e f a", "b", "q", "a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for width, slack in ((4, 1), (3, 2), (5, 0)):
+        got = {}
+        for r in decontaminate.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), width=width, slack=slack).collect():
+            got.setdefault((r["doc_id"], r["item_id"]), set()).add((r["start"], r["n"], r["exact"]))
+            assert 0 <= r["start"] and r["start"] + r["n"] <= len(texts[r["doc_id"]].split())
+        for d, t in enumerate(texts):
+            for k, b in enumerate(items):
+                want, have = spans(t, b, width, slack), got.get((d, k), set())
+                # the shortest span around any word of the window, of which the search keeps those around its rarest word
+                assert have <= want and {x for x in have if x[2]} == {x for x in want if x[2]} and bool(have) == bool(want), (t, b)
+
+
+def test_every_join_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(*d, "x") for d in DOCS], "doc_id long, text string, source string, tid string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, bench).collect()}
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, bench, slack=2).collect()}
     assert got[1] == 12 and got[9] == 360 and got[10] == 12 and got[3] == 0 and len(got) == 11
 
 
+def test_very_long_documents_match(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000 + ITEM), (2, "word " * 300_000)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.contamination(docs, spark.createDataFrame(BENCH[:1], "item_id long, text string"), slack=5).collect()}
+    assert (rows[1]["n_words"], rows[1]["n_hit"], rows[1]["n_near"]) == (300_012, 12, 1) and rows[2]["n_near"] == 0
+
+
 def test_mix_is_near_targets(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"), (F.col("id") * 37 % 400 + 1).alias("size"), F.lit(1).alias("taken"))
     rows = mixing.mix(docs)
