@@ -247,13 +247,14 @@ def _known_words(words: Words) -> np.ndarray:
 
 
 def fit(rows: pd.DataFrame, counts: dict[int, int], seed: int = 9) -> Network:
-    """From (text, label) rows and the classes' counts in all labelled rows. Without both classes, a flat network."""
+    """From (text, label) rows and the classes' counts in all labelled rows. With one class all texts are like it, and
+    without labels all are clean."""
     rows = rows[rows["text"].notna() & rows["label"].isin([0, 1])]
     texts, y = rows["text"].tolist(), rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         net = Network(np.zeros(0, np.uint64))
         net.slope = 0.0
-        net.offset = 4.0 if 1.0 in y else -4.0 if len(y) else 0.0
+        net.offset = 4.0 if 1.0 in y else -4.0
         return net
     fifth = rows.groupby("label").cumcount().to_numpy() % 5
     docs = [spaced(t).encode("utf-8", "surrogatepass") for t in texts]

@@ -66,7 +66,7 @@ def test_toxicity(spark):
     rows = toxicity.score_toxicity(df, net).collect()
     assert rows[0]["score"] < 0.5 < rows[1]["score"] and toxicity.score_toxicity(df.limit(0), net).count() == 0
     flat = toxicity.fit(pd.DataFrame({"text": [], "label": []}), {})
-    assert flat.scores(["x"])[0] == 0.5
+    assert flat.scores(["x"])[0] < 0.5
     again = toxicity.fit(toxic_rows(random.Random(2), 300), {0: 200, 1: 100})
     assert np.allclose(again.scores(test["text"].tolist()[:20]), score[:20], atol=1e-3)
 

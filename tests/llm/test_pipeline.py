@@ -1,11 +1,14 @@
 """The pipeline against plain Python that uses the same trained models."""
 
+import hashlib
+import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import lang_id, toxicity
+from quillon.llm import lang_id, mixing, toxicity
 from quillon.runtime import table
 
 from .test_dedup import brute
@@ -52,9 +55,73 @@ def test_stages(spark):
     clean = {d for d, t in zip(before["doc_id"], before["text"], strict=True) if not any(tuple(words8(t)[i : i + n]) in grams for n in sizes for i in range(len(words8(t)) - n + 1))}
     assert set(steps["decontamination"]["doc_id"]) == clean
     mixed, before = steps["source_mix"], steps["decontamination"]
-    assert set(mixed["doc_id"]) <= set(before["doc_id"]) and mixed.groupby("doc_id").size().max() <= 2
-    size = lambda f: f["text"].map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))).sum()
-    assert size(mixed) == pytest.approx(1.5 * size(before), rel=0.15)
+    size = lambda f: f["text"].map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))
+    assert size(mixed).sum() == pytest.approx(1.5 * size(before).sum(), rel=0.15)
+    assert mixed.groupby("doc_id").size().to_dict() == systematic(before.assign(size=size(before)))
+    assert (mixed.sort_values(["doc_id", "copy"]).groupby("doc_id").cumcount() + 1 == mixed.sort_values(["doc_id", "copy"])["copy"]).all()
+    # run() is these stages over the whole table
+    whole = corpus_pipeline.run(spark, SF).toPandas()
+    key = ["doc_id", "copy", "text", "lang", "source", "n_chars"]
+    assert sorted(map(repr, whole[key].itertuples(index=False))) == sorted(map(repr, mixed[key].itertuples(index=False)))
+
+
+def systematic(docs):
+    """doc_id: copies, by running sums of expected copies within each source and one offset; sizes above 0 only."""
+    by = docs.groupby("source", dropna=False)["size"].sum()
+    names = sorted((n for n in by.index if isinstance(n, str))) + [n for n in by.index if not isinstance(n, str)]
+    weight = {n: (5.0, 2.0, 1.0)[i % 3] for i, n in enumerate(names)}
+    target, free, left = {}, list(names), 1.5 * by.sum()
+    while True:  # targets above twice a source's size stop there and the rest is shared again
+        level = left / sum(weight[n] for n in free) if free else 0.0
+        full = [n for n in free if weight[n] * level > 2 * by[n]]
+        if not full:
+            break
+        for n in full:
+            target[n] = 2.0 * by[n]
+            left -= target[n]
+            free.remove(n)
+    target |= {n: weight[n] * level for n in free}
+    out = {}
+    for n in names:
+        key = "1" if not isinstance(n, str) else "0" + n
+        offset = int(hashlib.md5(f"mix-1|{key}".encode()).hexdigest()[:8], 16) / 2**32
+        part = docs[docs["source"].isna() if key == "1" else docs["source"] == n]
+        rows = []
+        for d, z in zip(part["doc_id"], part["size"], strict=True):
+            h = hashlib.md5(f"mix-1|{d}".encode()).hexdigest()
+            rows.append((len(str(z)) * 100 + int(str(z)[:2]), int(h[:6], 16) % 4096, z, h, d))
+        rate = target[n] / by[n] if by[n] else 0.0
+        for k, (*_, z, _, d) in enumerate(sorted(r for r in rows if r[2]), 1):
+            if c := math.floor(offset + rate * k) - math.floor(offset + rate * (k - 1)):
+                out[d] = c
+    return out
+
+
+def test_names_do_not_meet(spark, tmp_path):
+    """Columns with the names that stages use inside come out as they came in."""
+    odd = ["row", "_th", "th", "_copies", "copies", "node", "_node", "score", "lang_pred", "rows", "d", "k", "doc_id_"]
+    text = "the and of to in is that it was for on"
+    docs = spark.createDataFrame([(i, " ".join(w + "xyz"[i - 4] for w in text.split()), "en", "s", 9, *range(3, 3 + len(odd))) for i in (4, 5, 6)] + [(1, text, "en", "s", 9, *range(3, 3 + len(odd))), (None, "Quite another text, that is in no other row", "en", None, 9, *range(3, 3 + len(odd))), (2, None, None, "s", 0, *range(3, 3 + len(odd)))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in odd))
+    spark.createDataFrame([(1, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns + ["copy"] * (name == "source_mix")
+        rows = got.collect()
+        assert rows and all(r["k"] == 14 and r["_th"] == 4 and r["row"] == 3 for r in rows)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = {name: {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} for name, stage in corpus_pipeline.STAGES[:4]}
+    assert kept["language_id"] == {1, 4, 5, 6, None} and kept["toxicity"] == kept["minhash_dedup"] == kept["decontamination"] == {1, 2, 4, 5, 6, None}
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(7, "a b c d e", "en", "s", 9, 1)] * 100 + [(i, "a b c d e", "en", "t" if i % 2 else "s", 9, 1) for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy long")
+    got = corpus_pipeline.source_mix(spark, docs, "").toPandas()
+    targets = {r["source"]: r["target"] for r in mixing.mix(docs.select("doc_id", "source", F.lit(5).cast("bigint").alias("size"))).collect()}
+    for s, n in got.groupby("source").size().items():
+        assert abs(5 * n - targets[s]) <= 5
+    assert got.groupby("doc_id").size().drop(7).max() <= 2 and 100 <= (got["doc_id"] == 7).sum() <= 200
 
 
 def test_repeated_and_null_rows(spark, tmp_path):
