@@ -1,19 +1,21 @@
-"""Near-duplicate detection: banded MinHash candidates, sequential Bayesian pruning, exact verification.
-
-1. Each text gives a key of its word sequence, the size of its shingle set and BANDS hashes of ROWS minimum hashes
-   each. Texts with equal keys are one class from here on, whatever their number.
-2. Within a band, every class that shares a bucket is tied to the bucket's smallest class: two numbers for each
-   class and band, never pairs. Classes tied together, over all bands, are a cluster; two similar classes
-   share a bucket but with probability (1 - t**ROWS)**BANDS, 2e-7 at t = 0.75, so links do not leave clusters.
-3. Work is handed out in tiles of bounded size. A cluster that fits is one tile. In a larger one, members are first held
-   against the heads of their buckets alone, some members a tile: this joins groups of near copies of any size with
-   work in proportion to their rows. Only members outside the cluster's largest component then meet the others, part
-   by part. (If most of a large cluster is alike but not linked, that is still all of its pairs: only looking tells.)
-4. In a tile, signatures are compared in batches; after each batch a pair whose similarity is below the threshold with
+"""Near-duplicate detection: banded MinHash candidates, sequential Bayesian verification, exact verification.
+
+1. Each text gives a key of its word sequence, the size of its shingle set and a signature of BANDS * ROWS minimum hashes.
+   Texts with equal keys are one class from here on, whatever their number.
+2. A band's ROWS hashes are its bucket. Every class that shares a bucket is tied to the bucket's smallest class: two
+   numbers for each class and band, never pairs. Two similar classes share a bucket but with probability
+   (1 - t**ROWS)**BANDS, 2e-7 at t = 0.75.
+3. Classes tied together that fit in a tile of bounded size are one, and their texts meet there. Larger ones are not
+   closed over: first members meet the heads of their buckets, some members a tile, which joins groups of near
+   copies of any size with work in proportion to their rows. Then, bucket by bucket, those outside the bucket's largest component
+   meet the bucket's others. A pair that shares several buckets meets in the first of them. An over-full bucket is cut into parts.
+4. In those tiles of large groups only the first SIFT hashes of each member travel; members that a Bayesian gate leaves a
+   partner are asked for their texts, the others are done. So where many are alike but not linked, hashes meet, not texts.
+5. Wherever texts meet, signatures are compared in batches; after each batch a pair whose similarity is below the threshold with
    posterior probability over 1 - MISS is dropped, and what is left is verified on full shingle sets. Pairs
    already joined in the tile are skipped, and a tile returns the links of a spanning forest only, so
    what leaves a tile grows with its rows and not with its pairs.
-5. Components of the links, over tiles, label all rows.
+6. Components of the links, over tiles, label all rows.
 """
 
 from __future__ import annotations
@@ -23,59 +25,53 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import connected_components
-from quillon.llm.shingles import MinHash, blocks, mix64, shingle_sets
+from quillon.llm.shingles import MinHash, blocks, shingle_sets
 from quillon.runtime import ship_package, stash, table
 
 THRESHOLD = (75, 100)
 BANDS, ROWS = 40, 4
 BATCH, MISS = 16, 1e-7
-#: A part of a cluster holds about this many documents or bytes of text.
+#: A part of a large group or bucket holds about this many documents, one of texts also no more than about these bytes.
 PART_ROWS, PART_BYTES = 512, 4 << 20
-#: Members that meet a bucket's head in one tile.
-STAR_ROWS = 64
-#: Ids up to this many (16 MB) are sent to all executors to pick documents; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-_SKETCH = "doc_id long, key1 long, key2 long, n_shingles long, n_bytes long, bands array<long>"
-
-
-def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(texts, bands): one 64-bit hash a band, the band's number mixed in."""
-    out = np.zeros((len(signatures), bands), dtype=np.uint64)
-    for b in range(bands):
-        h = np.full(len(signatures), b + 1, dtype=np.uint64)
-        for r in range(rows):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, b * rows + r].astype(np.uint64))
-        out[:, b] = h
-    return out
+#: Members that meet a bucket's head in one tile, and hashes of each member that meet before texts do.
+STAR_ROWS, SIFT = 64, 64
+#: Texts of up to this many classes (two numbers each) are picked by broadcast; of more, by shuffle.
+BROADCAST_IDS = 200_000
+
+_SKETCH = "doc_id long, th long, key1 long, key2 long, n_shingles long, n_bytes long, signature binary"
+_TILE = ("cluster", "pa", "pb", "id", "th", "side")
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash = MinHash(BANDS * ROWS)
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        ids, hashes, texts = batch.column("doc_id"), batch.column("th"), batch.column("text").to_pylist()
         for start, docs in blocks(texts):
             sets, keys = shingle_sets(docs)
-            hashes = band_hashes(minhash.of(sets)).view(np.int64)
-            full = np.asarray([len(s) > 0 for s in sets])
-            at = np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)
+            signatures = minhash.of(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(start, len(docs)),
+                    hashes.slice(start, len(docs)),
                     pa.array(np.ascontiguousarray(keys[:, 0]).view(np.int64)),
                     pa.array(np.ascontiguousarray(keys[:, 1]).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([len(d) for d in docs], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[full].ravel())),
+                    pa.array([row.tobytes() if len(s) else None for s, row in zip(sets, signatures, strict=True)], pa.binary()),
                 ],
-                ["doc_id", "key1", "key2", "n_shingles", "n_bytes", "bands"],
+                ["doc_id", "th", "key1", "key2", "n_shingles", "n_bytes", "signature"],
             )
 
 
+def buckets(signature: Column) -> Column:
+    """array<bigint>: one hash a band, the band's number mixed in."""
+    return F.array(*(F.xxhash64(F.lit(b), F.substring(signature, 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
+
+
 def least_matches(size: int, batch: int = BATCH, threshold: float = THRESHOLD[0] / THRESHOLD[1], miss: float = MISS) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches to go on) for each batch.
 
@@ -94,6 +90,22 @@ def least_matches(size: int, batch: int = BATCH, threshold: float = THRESHOLD[0]
     return out
 
 
+def likely(i: int, others: np.ndarray, signatures: np.ndarray, sizes: np.ndarray, gates: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``others`` that may be similar to ``i``, and how many hashes they share: by sizes first, then batch by batch."""
+    top, whole = THRESHOLD
+    # sizes alone rule out many: the smaller set has at least the threshold's share of the larger
+    fits = (whole * np.minimum(sizes[others], sizes[i]) >= top * np.maximum(sizes[others], sizes[i])) & (sizes[others] > 0)
+    others = others[fits]
+    hits, before = np.zeros(len(others), dtype=np.int32), 0
+    for n, least in gates:
+        if not len(others):
+            break
+        hits += (signatures[others, before:n] == signatures[i, before:n]).sum(axis=1, dtype=np.int32)
+        on = hits >= least
+        others, hits, before = others[on], hits[on], n
+    return others, hits
+
+
 class Forest:
     """Disjoint sets of 0..n-1 with the smallest member as root."""
 
@@ -156,55 +168,68 @@ def verified_links(sets: list[np.ndarray], side: np.ndarray, same: bool, minhash
         return out
     for i in left:
         others = right[right > i] if same else right
-        # sizes alone rule out many: the smaller set has at least the threshold's share of the larger
-        fits = (whole * np.minimum(sizes[others], sizes[i]) >= top * np.maximum(sizes[others], sizes[i])) & (sizes[others] > 0)
-        others = others[fits]
-        hits = np.zeros(len(others), dtype=np.int32)
-        before = 0
-        for n, least in gates:
-            if not len(others):
-                break
-            hits += (signatures[others, before:n] == signatures[i, before:n]).sum(axis=1, dtype=np.int32)
-            on = hits >= least
-            others, hits, before = others[on], hits[on], n
+        others, hits = likely(i, others, signatures, sizes, gates)
         if len(others):
             check(int(i), others[np.argsort(-hits, kind="stable")])
     return out
 
 
+def _each_tile(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows sorted by the first three columns, a tile at a time. A tile is held whole; its size is bounded."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles of signatures: those whose rows have a likely partner in the tile.
+
+    Side 0 is held against side 1 and, where ``pa`` equals ``pb``, against itself. Pairs of one component are linked already; ``band`` is
+    the tile's bucket's, and a pair that shares an earlier bucket meets there (-1: all pairs meet here).
+    """
+    gates = least_matches(SIFT)
+    for tile in _each_tile(batches, (*_TILE, "component", "band", "n_shingles", "signature")):
+        side, component, sizes = (np.asarray([r[k] for r in tile], dtype=np.int64) for k in (5, 6, 8))
+        signatures = np.frombuffer(b"".join(r[9] for r in tile), dtype=np.uint32).reshape(len(tile), -1)
+        band, same = tile[0][7], tile[0][1] == tile[0][2]
+        bands = signatures[:, : max(band, 0) * ROWS].reshape(len(tile), -1, ROWS)
+        wanted = np.zeros(len(tile), dtype=bool)
+        for i in np.flatnonzero(side == 0):
+            others = np.flatnonzero((side == 1) & (component != component[i]))
+            if same:
+                more = np.flatnonzero((side == 0) & (component != component[i]))
+                others = np.concatenate((others, more[more > i]))
+            others, _ = likely(i, others, signatures, sizes, gates)
+            if len(others) and band > 0:
+                others = others[~(bands[others] == bands[i]).all(axis=2).any(axis=1)]
+            if len(others):
+                wanted[i] = wanted[others] = True
+        if wanted.any():
+            rows = [tile[k][:6] for k in np.flatnonzero(wanted)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(_TILE))
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: each tile's links. A tile is held whole; its size is bounded."""
+    """Rows of tiles of texts: each tile's links."""
     minhash = MinHash(BANDS * ROWS)
     gates = least_matches(BANDS * ROWS)
-    held: list[tuple[tuple, int, int, str]] = []
-
-    def work() -> list[tuple[int, int]]:
-        if len(held) < 2:
-            return []
-        ids = [h[1] for h in held]
+    for tile in _each_tile(batches, (*_TILE, "text")):
+        if len(tile) < 2:
+            continue
         sets = []
-        for _, docs in blocks([h[3] for h in held]):
+        for _, docs in blocks([r[6] for r in tile]):
             sets += shingle_sets(docs)[0]
-        # pb below 0 is no part's number: such tiles hold two sides against each other
-        first, second = held[0][0][1:]
-        found = verified_links(sets, np.asarray([h[2] for h in held]), first == second, minhash, gates)
-        return [(ids[a], ids[b]) for a, b in found]
-
-    links: list[tuple[int, int]] = []
-    for batch in batches:
-        cols = [batch.column(c) for c in ("cluster", "pa", "pb", "id", "side", "text")]
-        for row in zip(*(c.to_pylist() for c in cols), strict=True):
-            key = row[:3]
-            if held and held[0][0] != key:
-                links += work()
-                held.clear()
-            held.append((key, row[3], row[4], row[5]))
-        if links:
-            yield _links(links)
-            links = []
-    links += work()
-    if links:
-        yield _links(links)
+        # a tile whose parts differ holds two sides against each other
+        found = verified_links(sets, np.asarray([r[5] for r in tile]), tile[0][1] == tile[0][2], minhash, gates)
+        if found:
+            yield _links([(tile[a][3], tile[b][3]) for a, b in found])
 
 
 def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -214,73 +239,97 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     ship_package(docs.sparkSession)
-    return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketch, _SKETCH)
+    return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(_sketch, _SKETCH)
 
 
 def classes(sketches: DataFrame) -> DataFrame:
-    """(key1, key2, id, n_bytes, bands): one row for each distinct word sequence that has words and an id; id is its smallest."""
+    """(key1, key2, id, th, n_shingles, n_bytes, signature): one row for each distinct word sequence that has words and an id; id is
+    its smallest, and th the hash of a text with that id."""
     some = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    return some.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"), F.min("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    per = some.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.min("n_shingles").alias("n_shingles"), F.min("n_bytes").alias("n_bytes"), F.first("signature").alias("signature"))
+    return per.select("key1", "key2", F.col("m.doc_id").alias("id"), F.col("m.th").alias("th"), "n_shingles", "n_bytes", "signature")
 
 
 def ties(reps: DataFrame) -> DataFrame:
     """(a, b): each class with the smallest class of each of its buckets, if that is another one."""
-    rows = reps.select("id", F.explode("bands").alias("bucket"))
+    rows = reps.select("id", F.explode(buckets(F.col("signature"))).alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return rows.join(heads.select("bucket", "head"), "bucket").where(F.col("id") != F.col("head")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
 
+def _tile(rows: DataFrame, *more: str) -> DataFrame:
+    kinds = ("bigint", "int", "int", "bigint", "bigint", "int")
+    return rows.select(*(F.col(c).cast(k).alias(c) for c, k in zip(_TILE, kinds, strict=True)), *more)
+
+
 def _found(docs: DataFrame, rows: DataFrame, doc: str, text: str) -> DataFrame:
-    """The links of tiles: ``rows`` has cluster, pa, pb, id and side, and documents bring their texts to it."""
-    rows = stash(rows.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("pa").cast("int").alias("pa"), F.col("pb").cast("int").alias("pb"), F.col("id").cast("bigint").alias("id"), F.col("side").cast("int").alias("side")))
-    few = rows.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(doc).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    tiles = texts.join(F.broadcast(rows) if few else rows, "id").select("cluster", "pa", "pb", "id", "side", "text")
-    tiles = tiles.repartition("cluster", "pa", "pb").sortWithinPartitions("cluster", "pa", "pb", "id")
+    """The links of tiles: ``rows`` has the columns of a tile, and documents bring their texts to it, each once."""
+    rows = stash(_tile(rows))
+    wanted = stash(rows.select("id", "th").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col(doc).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    # rows that repeat an id and a text bring it once
+    texts = texts.join(wanted, ["id", "th"]).groupBy("id", "th").agg(F.any_value("text").alias("text"))
+    tiles = rows.join(texts, ["id", "th"]).select(*_TILE, "text").repartition("cluster", "pa", "pb").sortWithinPartitions("cluster", "pa", "pb", "id")
     return stash(tiles.mapInArrow(_tiles, "a long, b long").where(F.col("a") != F.col("b")))
 
 
-def _parts(count, size):
-    """How many parts so many rows and bytes are cut into."""
-    return F.greatest(F.ceil(count / PART_ROWS), F.ceil(size / PART_BYTES), F.lit(1)).cast("int")
+def _sifted(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those rows of tiles that have a likely partner there. ``rows`` has a tile's columns, component and band."""
+    part = reps.select("id", "th", "n_shingles", F.substring("signature", 1, 4 * SIFT).alias("signature"))
+    tiles = _tile(rows, F.col("component").cast("bigint").alias("component"), F.col("band").cast("int").alias("band")).join(part, ["id", "th"])
+    tiles = tiles.select(*_TILE, "component", "band", "n_shingles", "signature").repartition("cluster", "pa", "pb").sortWithinPartitions("cluster", "pa", "pb", "id")
+    return tiles.mapInArrow(_sift, "cluster long, pa int, pb int, id long, th long, side int")
 
 
-def _part(parts, seed: int = 0):
+def _part(parts: Column, seed: int = 0) -> Column:
     """A row's part, by a hash of the id: parts vary a little around their bound."""
     return F.pmod(F.xxhash64("id", F.lit(seed)), parts).cast("int")
 
 
+def _chunks(n: Column) -> Column:
+    return F.greatest(F.ceil(n / PART_ROWS), F.lit(1)).cast("int")
+
+
+def _upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
 def links(docs: DataFrame, reps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): verified links that join all similar classes of ``reps``."""
     tied = stash(ties(reps))
-    members = stash(connected_components(tied).withColumnRenamed("component", "cluster").join(reps.select("id", "n_bytes"), "id"))
-    sizes = members.groupBy("cluster").agg(_parts(F.count(F.lit(1)), F.sum("n_bytes")).alias("parts"))
+    members = stash(connected_components(tied).withColumnRenamed("component", "cluster").join(reps.select("id", "th", "n_bytes"), "id"))
+    sizes = members.groupBy("cluster").agg((F.greatest(F.count(F.lit(1)) / PART_ROWS, F.sum("n_bytes") / PART_BYTES) > 1).alias("large"))
     members = stash(members.join(sizes, "cluster"))
-    whole = members.where(F.col("parts") == 1).select("cluster", F.lit(0).alias("pa"), F.lit(0).alias("pb"), "id", F.lit(0).alias("side"))
-    large = members.where(F.col("parts") > 1)
+    zero = F.lit(0)
+    whole = members.where(~F.col("large")).select("cluster", zero.alias("pa"), zero.alias("pb"), "id", "th", zero.alias("side"))
+    large = members.where("large").select("id", "th")
     if large.isEmpty():
         return _found(docs, whole, doc, text)
 
-    # members of large clusters and the heads of their buckets; pb -1 sets these tiles apart
-    spokes = tied.join(large.select(F.col("id").alias("a")), "a").withColumnsRenamed({"a": "id", "b": "head"})
+    # members of large groups and the heads of their buckets
+    spokes = tied.join(large.select(F.col("id").alias("a"), "th"), "a").withColumnsRenamed({"a": "id", "b": "head"})
     many = spokes.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("chunks"))
-    spokes = spokes.join(many, "head").withColumn("pa", _part(F.col("chunks")))
-    star = spokes.select(F.col("head").alias("cluster"), "pa", F.lit(-1).alias("pb"), "id", F.lit(1).alias("side"))
-    heads = many.select(F.col("head").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("pa"), F.lit(-1).alias("pb"), F.col("head").alias("id"), F.lit(0).alias("side"))
-    first = _found(docs, whole.unionByName(star).unionByName(heads), doc, text)
+    star = spokes.join(many, "head").select(F.col("head").alias("cluster"), _part(F.col("chunks")).alias("pa"), F.lit(-1).alias("pb"), "id", "th", F.lit(1).alias("side"))
+    heads = many.join(large.withColumnRenamed("id", "head"), "head").select(F.col("head").alias("cluster"), _upto(F.col("chunks")).alias("pa"), F.lit(-1).alias("pb"), F.col("head").alias("id"), "th", zero.alias("side"))
+    apart = star.unionByName(heads).withColumn("component", F.col("side")).withColumn("band", F.lit(-1))
+    first = _found(docs, whole.unionByName(_sifted(apart, reps)), doc, text)
 
-    # what the heads have not joined to a cluster's largest component meets all of the cluster
+    # what shares a bucket and is in several components meets there: all but the largest with all
     joined = connected_components(first.join(large.select(F.col("id").alias("a")), "a", "left_semi"))
-    large = stash(large.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    by = large.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = by.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    rest = large.join(main, "cluster").where(F.col("component") != F.col("main"))
-    some = rest.groupBy("cluster").agg(_parts(F.count(F.lit(1)), F.sum("n_bytes")).alias("few"))
-    # part i of the rest and part j of all; pb from -2 down
-    left = rest.join(some, "cluster").select("cluster", _part(F.col("few"), 1).alias("pa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "id", F.lit(0).alias("side"))
-    right = large.join(some, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("pa"), _part(F.col("parts"), 2).alias("j"), "id", F.lit(1).alias("side"))
-    both = left.unionByName(right).withColumn("pb", -F.col("j") - 2)
-    return first.unionByName(_found(docs, both, doc, text))
+    rows = reps.join(large, ["id", "th"], "left_semi").select("id", "th", F.posexplode(buckets(F.col("signature"))).alias("band", "cluster"))
+    rows = stash(rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    by = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    by = by.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where(F.col("n") > F.col("most"))
+    by = by.select("cluster", "main", _chunks(F.col("n")).alias("parts"), _chunks(F.col("n") - F.col("most")).alias("few"))
+    rows = stash(rows.join(by, "cluster").withColumn("rest", F.col("component") != F.col("main")))
+    one = F.col("parts") == 1
+    own = rows.where(one).select("cluster", zero.alias("pa"), zero.alias("pb"), "id", "th", F.when(F.col("rest"), 0).otherwise(1).alias("side"), "component", "band")
+    left = rows.where(~one & F.col("rest")).select("cluster", _part(F.col("few"), 1).alias("pa"), _upto(F.col("parts")).alias("pb"), "id", "th", zero.alias("side"), "component", "band")
+    right = rows.where(~one).select("cluster", _upto(F.col("few")).alias("pa"), _part(F.col("parts"), 2).alias("pb"), "id", "th", F.lit(1).alias("side"), "component", "band")
+    # a tile of two sides has a negative second part
+    both = left.unionByName(right).withColumn("pb", -F.col("pb") - 2)
+    return first.unionByName(_found(docs, _sifted(own.unionByName(both), reps), doc, text))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,6 +349,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class (see ``near_duplicates`` for nulls, empty texts and repeated rows)."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

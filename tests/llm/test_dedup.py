@@ -61,9 +61,10 @@ def test_against_brute_force(spark, seed):
         assert (got[d]["n_shingles"], got[d]["component_id"], got[d]["kept"]) == (n, c, c == d)
 
 
-def test_parts_of_large_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("part", [2, 4])
+def test_parts_of_large_clusters(spark, monkeypatch, part):
     """A cluster in many tiles has the same links as in one."""
-    monkeypatch.setattr(dedup, "PART_ROWS", 4)
+    monkeypatch.setattr(dedup, "PART_ROWS", part)
     monkeypatch.setattr(dedup, "STAR_ROWS", 2)
     monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
     docs = corpus(3)
@@ -93,3 +94,39 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {98: 98, 99: 98, 100: 98}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def alike(n, seed=4):
+    """Texts of which each two share about three shingles of ten, none linked."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(100)]
+    return [(d, " ".join(common[:55] + [f"w{rng.random()}" for _ in range(60)])) for d in range(n)]
+
+
+def test_texts_of_unlinked_documents_do_not_travel(spark, monkeypatch):
+    """Where many are alike and none linked, hashes meet and no texts; linked ones among them are found."""
+    monkeypatch.setattr(dedup, "PART_ROWS", 32)
+    asked = []
+    found = dedup._found
+
+    def counted(docs, rows, doc, text):
+        rows = dedup.stash(dedup._tile(rows))
+        asked.append(rows.count())
+        return found(docs, rows, doc, text)
+
+    monkeypatch.setattr(dedup, "_found", counted)
+    docs = alike(300)
+    docs += [(1000 + d, t + " more") for d, t in docs[:10]]
+    got = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d - 1000 if d >= 1000 else d for d, _ in docs}
+    assert sum(asked) < 300
+
+
+def test_repeated_rows_bring_their_text_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text)] * 3000 + [(2, text + " x"), (1, text + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = dedup.stash(dedup.classes(dedup.sketch(df)))
+    assert reps.count() == 3
+    got = dedup.near_duplicates(df)
+    assert got.where("component_id != 1").count() == 0 and got.count() == 3002
