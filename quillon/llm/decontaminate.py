@@ -95,7 +95,12 @@ def _blocks_near(pos: Column, reach: Column, size: int) -> Column:
 
 
 def lookup(index: DataFrame, asked: DataFrame, width: int = WIDTH, slack: int | None = None) -> DataFrame:
-    """(win, d, start, n, exact): the phrase matches of ``asked`` (see ``probes``) and, with ``slack``, the proximity matches."""
+    """(win, d, start, n, exact): the phrase matches of ``asked`` (see ``probes``) and, with ``slack``, the proximity matches.
+
+    ``width`` is at most 62: a window's terms have a bit each.
+    """
+    if width > 62:
+        raise ValueError("windows have at most 62 words")
     lists = index.where(F.col("tid") >= 0).select("tid", "d", "pos")
     size = 2 * (width + (slack or 0))
     span = F.col("n") + (slack or 0)
@@ -119,31 +124,30 @@ def lookup(index: DataFrame, asked: DataFrame, width: int = WIDTH, slack: int |
     wanted = _small(stash(at.select("d", "block").distinct()))
     around = lists.withColumn("block", F.floor(F.col("pos") / size).cast("int")).join(wanted, ["d", "block"])
     around = around.groupBy("d", "block").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "tid")).alias("near"))
-    seen = at.join(around, ["d", "block"]).groupBy("win", "d", "p").agg(F.flatten(F.collect_list("near")).alias("near"))
-    seen = seen.join(_small(asked), "win")
-    start = F.col("p") - F.col("place")
-
-    def in_order(start: Column) -> Column:
-        """Whether the window's words stand in order from a position on: each list, moved by its place, has it."""
-        return F.size(F.array_except(F.transform("tids", lambda t, k: F.struct((start + k).cast("int").alias("pos"), t.alias("tid"))), F.col("near"))) == 0
-
-    seen = seen.withColumn("exact", in_order(start))
+    rows = at.join(around, ["d", "block"]).join(_small(asked.select("win", "n", "place", "tids", F.transform("need", lambda t: t["tid"]).alias("terms"))), "win")
+    rows = rows.select("win", "d", "p", "n", "place", "tids", "terms", F.explode("near").alias("x")).where((F.abs(F.col("x.pos") - F.col("p")) < span) & F.array_contains("tids", F.col("x.tid")))
+    # a posting is in order if the window, moved to its anchor, has its term there
+    offset = F.col("x.pos") - F.col("p") + F.col("place")
+    in_order = (offset >= 0) & (offset < F.col("n")) & F.get(F.col("tids"), offset).eqNullSafe(F.col("x.tid"))
+    kinds = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.array_position("terms", F.col("x.tid")) - 1).cast("int")))
+    more = [] if slack is None else [kinds.alias("kinds"), F.array_sort(F.collect_list("x")).alias("near")]
+    seen = rows.groupBy("win", "d", "p").agg(F.sum(in_order.cast("int")).alias("hits"), *more)
+    seen = seen.join(_small(asked.select("win", "n", "place", "tids", "need")), "win")
+    exact = seen.where(F.col("hits") == F.col("n")).select("win", "d", (F.col("p") - F.col("place")).alias("start"), "n", F.lit(True).alias("exact"))
     if slack is None:
-        return seen.where("exact").select("win", "d", start.alias("start"), "n", "exact")
-    own = F.filter("near", lambda x: F.array_contains(F.col("tids"), x["tid"]) & (F.abs(x["pos"] - F.col("p")) < span))
-    rest = seen.where(~F.col("exact")).withColumn("near", own)
-    rest = rest.where(F.size(F.array_except("tids", F.transform("near", lambda x: x["tid"]))) == 0)
-    from_to = F.flatten(
-        F.transform(
-            F.filter("near", lambda a: a["pos"] <= F.col("p")),
-            lambda a: F.transform(F.filter("near", lambda b: (b["pos"] >= F.col("p")) & (b["pos"] - a["pos"] < span)), lambda b: F.struct((b["pos"] - a["pos"] + 1).alias("n"), a["pos"].alias("start"))),
-        )
-    )
-    fits = F.filter(from_to, lambda s: F.forall("need", lambda t: F.size(F.filter("near", lambda x: (x["tid"] == t["tid"]) & (x["pos"] >= s["start"]) & (x["pos"] < s["start"] + s["n"]))) >= t["k"]))
-    close = rest.withColumn("best", F.array_min(fits)).where(F.col("best").isNotNull())
-    out = seen.where("exact").select("win", "d", start.alias("start"), "n", "exact")
-    close = close.select("win", "d", F.col("best.start").alias("start"), F.col("best.n").alias("n"), ((F.col("best.n") == F.col("n")) & in_order(F.col("best.start"))).alias("exact"))
-    return out.unionByName(close).distinct()
+        return exact
+
+    # from each place before the anchor, the end of the shortest span that has all terms often enough
+    rest = seen.where((F.col("hits") < F.col("n")) & (F.col("kinds") == F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size("need")) - 1))
+    far = F.lit(2**31 - 1)
+    place_of = lambda a, t: F.get(F.filter("near", lambda x: (x["tid"] == t["tid"]) & (x["pos"] >= a["pos"])), (t["k"] - 1).cast("int"))["pos"]
+    end = lambda a: F.aggregate("need", F.col("p").cast("int"), lambda to, t: F.greatest(to, F.coalesce(place_of(a, t), far)))
+    each = F.transform(F.filter("near", lambda a: a["pos"] <= F.col("p")), lambda a: F.struct((end(a).cast("bigint") - a["pos"] + 1).alias("n"), a["pos"].alias("start")))
+    close = rest.withColumn("best", F.array_min(F.filter(each, lambda s: s["n"] <= span))).where(F.col("best").isNotNull())
+    as_it_is = F.filter("near", lambda x: (x["pos"] >= F.col("best.start")) & F.get(F.col("tids"), x["pos"] - F.col("best.start")).eqNullSafe(x["tid"]))
+    whole = (F.col("best.n") == F.col("n")) & (F.size(as_it_is) == F.col("n"))
+    close = close.select("win", "d", F.col("best.start").alias("start"), F.col("best.n").cast("int").alias("n"), whole.alias("exact"))
+    return exact.unionByName(close).distinct()
 
 
 def search(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, slack: int | None = None) -> tuple[DataFrame, DataFrame]:
