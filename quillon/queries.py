@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -18,7 +21,8 @@ from quillon.plans.reconcile import reconcile
 from quillon.plans.report import chart_rows, render
 from quillon.plans.retail import regional_revenue, top_orders
 from quillon.plans.verify import verify_claims
-from quillon.runtime import table
+from quillon.runtime import scratch_dir, table, write_bytes
+from quillon.sources.readers import load_frame, load_tables
 from quillon.streaming.sessions import daily_sums, run_to_end
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,6 +401,41 @@ def statement_numbers_query(spark: SparkSession, sf: str) -> DataFrame:
 _SHEET = "SELECT o_orderpriority AS p, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2"
 
 
+@query("""
+SELECT n_name AS name, 'two' || chr(10) || 'lines, "' || n_name || '"' AS note, CAST(n_nationkey AS DOUBLE) AS size FROM nation
+UNION ALL SELECT 'name', 'a row like the header', NULL
+""")
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A CSV file with quotes, line breaks inside them and a row like its header, read back whole."""
+    out = io.StringIO(newline="")
+    rows = [(r["n_name"], f'two\nlines, "{r["n_name"]}"', r["n_nationkey"]) for r in table(spark, sf, "nation").collect()]
+    csv.writer(out, lineterminator="\n").writerows([("name", "note", "size"), *rows[:9], ("name", "a row like the header", "size"), *rows[9:]])
+    path = write_bytes(spark, f"{scratch_dir(spark)}/nations.csv", out.getvalue().encode())
+    return load_tables(spark, path)["nations"].frame
+
+
+_PARTS = {
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="nations" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/styles.xml": '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+}
+
+
+@query("SELECT n_name AS name, CAST(DATE '2024-01-01' + CAST(n_nationkey AS INT) AS VARCHAR) AS day, CAST(n_nationkey AS DOUBLE) AS size FROM nation")
+def xlsx_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A workbook with texts, days in a date format and numbers, below a title row, read back."""
+    text = lambda at, x: f'<c r="{at}" t="inlineStr"><is><t>{x}</t></is></c>'
+    body = '<row r="1">' + text("A1", "Nations") + '</row><row r="3">' + "".join(text(f"{c}3", x) for c, x in zip("ABC", ("name", "day", "size"), strict=True)) + "</row>"
+    for i, r in enumerate(table(spark, sf, "nation").select("n_name", "n_nationkey").collect(), 4):
+        body += f'<row r="{i}">{text(f"A{i}", r["n_name"])}<c r="B{i}" s="1"><v>{45292 + r["n_nationkey"]}</v></c><c r="C{i}"><v>{r["n_nationkey"]}</v></c></row>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'}).items():
+            z.writestr(name, part)
+    path = write_bytes(spark, f"{scratch_dir(spark)}/nations.xlsx", out.getvalue())
+    return load_frame(spark, path)[0]
+
+
 @query(f"""
 WITH d AS ({_SHEET}), s AS (SELECT p, sum(v) AS c FROM d GROUP BY 1)
 SELECT p || ' subtotal' AS label, 'group' AS scope_type, 'constraints' AS scope, round(c + CASE WHEN p = '2-HIGH' THEN c ELSE 0 END, 2) AS stated, round(c, 2) AS computed, CASE WHEN p = '2-HIGH' THEN 'inconsistent' ELSE 'consistent' END AS status FROM s

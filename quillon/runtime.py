@@ -43,6 +43,17 @@ def clear_scratch(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
+    """Writes a small file to any file system; returns its path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
+
+
 def stash(df: DataFrame, where: str | None = None) -> DataFrame:
     """Writes ``df`` to shared storage and reads it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
