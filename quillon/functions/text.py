@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +26,23 @@ LABEL_NUMBER = r"(?:第|分组|组|阶段|步骤|序号|章节?|表|图|方案|
 DATE = r"\d{4}\s*年(?:\s*\d{1,2}\s*月(?:\s*\d{1,2}\s*日)?)?|\d{4}[-/]\d{1,2}(?:[-/]\d{1,2})?|\d{1,2}\s*月(?:\s*\d{1,2}\s*日)?|\d{1,2}\s*季度|\b\d{1,2}[-/]\d{1,2}\b"
 NUMBER = r"(?<![\w.])([+\-−])?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%|个百分点|个百分點|pp|pct)?(?![\w.])"
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+def _compatible() -> tuple[str, str]:
+    """Characters that compatibility composition turns into one other character, and those characters."""
+    pairs = [(chr(c), to) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(to := unicodedata.normalize("NFKC", chr(c))) == 1 and to != chr(c)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_FROM, _TO = _compatible()
+#: All white space and format marks that stand at the ends of cells.
+_ENDS = r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$"
 
 
 def normalize_text(c: Column) -> Column:
-    """Full-width forms made plain and ends trimmed; null is empty."""
-    return F.trim(F.translate(F.coalesce(c.cast("string"), F.lit("")), _WIDE, _NARROW))
+    """Compatibility forms (full-width, superscript, no-break and the like) made plain, one character for one, and white space
+    at the ends removed; null is empty. Characters that stand for several, such as fractions, stay."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _FROM, _TO)).otherwise(text)
+    return F.regexp_replace(plain, _ENDS, "")
 
 
 def is_blank(c: Column) -> Column:

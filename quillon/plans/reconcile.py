@@ -1,23 +1,25 @@
 """Subtotal and total rows of a sheet as checksums of its detail rows.
 
-The grid is (row_idx, cells array<string>). Rows are classified by expressions; each summary row has up to three
-scopes of detail rows, tried in order: rows that agree with its labels, all rows, the block before it. Sums of
-all scopes are grouped in one pass; a window picks the first scope whose sum is within tolerance.
-A sheet's summary rows are few beside its details, and are broadcast to them while a count allows it.
+The grid is (row_idx, cells array<string>). It is read once; rows are classified by expressions; each summary row has up to three
+scopes of detail rows, tried in order: rows that agree with its labels, all rows, the block before it. Each
+scope is a join of its own by keys: distinct texts of a column, one sum, and the number of the block. A window picks the
+first scope whose sum is within tolerance.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import RATIO_WORDS, has_any, is_blank, normalize_text, parse_money, strip_summary_words, summary_level
+from quillon.runtime import stash
 
 ABSOLUTE, RELATIVE = 0.5, 0.005
-#: Summary rows up to this many are broadcast to the detail rows.
-BROADCAST_ROWS = 50_000
+#: Headers are looked for in this many first rows, and numbers in this many rows below one.
+HEADER_ROWS, BELOW_ROWS = 15, 20
 
 
 @dataclass(frozen=True)
@@ -32,40 +34,34 @@ class Reconciliation:
     summary: DataFrame
 
 
-def detect_header(head: list[list[str]], numeric: list[list[bool]]) -> int:
-    """The row of the first 15 with most labels and with numbers below them; ``head`` has the first 35 rows."""
-    blank = lambda x: (x or "").strip().lower() in ("", "-", "--", "—", "/", "n/a", "na", "null", "none")
-    best, best_score = 0, float("-inf")
-    for i, row in enumerate(head[:15]):
-        filled = [j for j, x in enumerate(row) if not blank(x)]
-        if not filled:
-            continue
-        below = sum(any(j < len(r) and r[j] for r in numeric[i + 1 : i + 21]) for j in filled)
-        score = 2 * len(filled) + sum(not numeric[i][j] for j in filled) + 1.5 * below - 0.5 * i
-        if score > best_score:
-            best, best_score = i, score
-    return best
+def detect_header(g: DataFrame) -> int:
+    """The first of the rows that score most: two points a cell, one more for a cell that is no number, one and a half for each
+    cell's column with a number among the next rows, less half a point for each row above. ``g`` has row_idx, t, num and blank."""
+    top = g.where(F.col("row_idx") < HEADER_ROWS + BELOW_ROWS).select("row_idx", F.posexplode(F.arrays_zip("num", "blank")).alias("c", "x"))
+    filled = top.where((F.col("row_idx") < HEADER_ROWS) & ~F.col("x.blank")).select(F.col("row_idx").alias("i"), "c", F.col("x.num").isNull().alias("label"))
+    numbers = top.where(F.col("x.num").isNotNull()).select(F.col("c").alias("k"), F.col("row_idx").alias("j"))
+    below = filled.join(numbers, (F.col("c") == F.col("k")) & F.col("j").between(F.col("i") + 1, F.col("i") + BELOW_ROWS), "left").groupBy("i", "c", "label").agg(F.max(F.col("j").isNotNull()).alias("below"))
+    points = 2 * F.count(F.lit(1)) + F.sum(F.col("label").cast("int")) + 1.5 * F.sum(F.col("below").cast("int")) - 0.5 * F.col("i")
+    best = below.groupBy("i").agg(points.alias("points")).agg(F.min_by("i", F.struct(-F.col("points"), "i")).alias("i")).first()["i"]
+    return best or 0
 
 
 def column_names(header: list[str], width: int) -> list[str]:
-    out: list[str] = []
-    for i in range(width):
-        name = (header[i] if i < len(header) else "").strip() or f"__col_{i + 1}"
-        k = 1
-        while (name if k == 1 else f"{name}__{k}") in out:
-            k += 1
-        out.append(name if k == 1 else f"{name}__{k}")
-    return out
+    """One name a column, empty ones numbered; a name that is taken gets the first free suffix."""
+    given = [(header[i] if i < len(header) else "").strip() or f"__col_{i + 1}" for i in range(width)]
+    taken: dict[str, None] = {}
+    for name in given:
+        taken[next(n for k in itertools.count(1) if (n := name if k == 1 else f"{name}__{k}") not in taken)] = None
+    return list(taken)
 
 
 def reconcile(grid: DataFrame, absolute: float = ABSOLUTE, relative: float = RELATIVE, header_row: int | None = None) -> Reconciliation:
-    width = grid.agg(F.max(F.size("cells"))).first()[0] or 0
-    texts = F.transform("cells", normalize_text)
-    g = grid.select(F.col("row_idx").cast("int").alias("row_idx"), F.transform(F.sequence(F.lit(1), F.lit(max(width, 1))), lambda i: F.coalesce(F.try_element_at(texts, i), F.lit(""))).alias("t"))
-    g = g.withColumn("num", F.transform("t", lambda x: parse_money(x)["number"])).withColumn("blank", F.transform("t", is_blank))
+    grid = stash(grid.select(F.col("row_idx").cast("int").alias("row_idx"), F.transform("cells", normalize_text).alias("texts")))
+    width = grid.agg(F.max(F.size("texts"))).first()[0] or 0
+    g = grid.select("row_idx", F.transform(F.sequence(F.lit(1), F.lit(max(width, 1))), lambda i: F.coalesce(F.try_element_at("texts", i), F.lit(""))).alias("t"))
+    g = stash(g.withColumn("num", F.transform("t", lambda x: parse_money(x)["number"])).withColumn("blank", F.transform("t", is_blank)))
     if header_row is None:
-        head = g.orderBy("row_idx").limit(35).collect()
-        header_row = detect_header([r["t"] for r in head], [[n is not None for n in r["num"]] for r in head])
+        header_row = detect_header(g)
     first = g.where(F.col("row_idx") == header_row).select("t").first()
     columns = column_names(list(first["t"]) if first else [], width)
     body = g.where(F.col("row_idx") > header_row)
@@ -84,6 +80,7 @@ def reconcile(grid: DataFrame, absolute: float = ABSOLUTE, relative: float = REL
     is_summary = F.col("kind").isin("group", "total")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("block", F.coalesce(F.max(F.when(is_summary, F.col("row_idx"))).over(before), F.lit(-1))).withColumn("above", F.last(F.when(F.col("kind") == "detail", F.col("t")), True).over(before))
+    rows = stash(rows.drop("blank"))
     shares = rows.where(~F.col("kind").isin("group", "total", "ratio")).select(F.posexplode("num").alias("c", "x")).groupBy("c").agg(F.count("x").alias("n"), F.count(F.lit(1)).alias("all")).collect()
     ratio = [any(w.lower() in c.lower() for w in RATIO_WORDS) for c in columns]
     value_columns = sorted(r["c"] for r in shares if r["n"] >= 1 and r["n"] >= 0.5 * r["all"] and not ratio[r["c"]])
@@ -95,16 +92,24 @@ def reconcile(grid: DataFrame, absolute: float = ABSOLUTE, relative: float = REL
     fallback = F.when((F.col("kind") == "group") & F.col("above").isNotNull() & (F.coalesce(F.element_at("above", F.col("label_at") + 1), F.lit("")) != ""), F.array(F.struct(F.col("label_at").alias("c"), F.element_at("above", F.col("label_at") + 1).alias("v"))))
     stated = rows.where(is_summary).select(F.col("row_idx").alias("s"), F.col("kind").alias("s_kind"), F.col("label").alias("s_label"), F.col("block").alias("s_block"), F.col("num").alias("s_num"), wanted.alias("wanted"), fallback.alias("fallback"))
     stated = stated.withColumn("wanted", F.when(F.size("wanted") > 0, F.col("wanted")).otherwise(F.coalesce("fallback", "wanted"))).drop("fallback")
-    details = rows.where(F.col("kind") == "detail").select("row_idx", "t", "num")
-    few = stated.count() <= BROADCAST_ROWS
-    side = F.broadcast(stated) if few else stated
-    agrees = (F.size("wanted") > 0) & F.forall("wanted", lambda w: F.element_at("t", w["c"] + 1).contains(w["v"]))
-    whole = F.col("s_kind") == "total"
-    inside = (F.col("row_idx") > F.col("s_block")) & (F.col("row_idx") < F.col("s"))
-    scopes = F.filter(F.array(F.when(agrees, F.lit(1)), F.when(whole, F.lit(2)), F.when(inside, F.lit(3))), lambda x: x.isNotNull())
-    met = details.join(side, agrees | whole | inside).select("s", F.explode(scopes).alias("scope"), "num", "row_idx")
+    stated = stash(stated)
+    details = rows.where(F.col("kind") == "detail").select("row_idx", "t", "num", "block")
+    # rows that agree: texts of a column that contain a wanted one, then rows with these texts, in all wanted columns
+    asked = stated.where(F.size("wanted") > 0).select("s", F.size("wanted").alias("n"), F.explode(F.array_distinct("wanted")).alias("w")).select("s", "n", "w.c", "w.v")
+    wants = asked.select("c", "v").distinct()
+    cells = details.select("row_idx", F.posexplode("t").alias("c", "text")).join(wants.select("c").distinct(), "c", "left_semi")
+    fits = cells.select("c", "text").distinct().join(wants, "c").where(F.col("text").contains(F.col("v")))
+    agree = cells.join(fits, ["c", "text"]).join(asked, ["c", "v"]).groupBy("s", "row_idx").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n")).where(F.col("met") == F.col("n"))
+    agree = agree.select("s", F.lit(1).alias("scope"), "row_idx").join(details.select("row_idx", "num"), "row_idx").select("s", "scope", "num")
+    # the block before a summary row has no other one in it
+    blocks = stated.select("s", F.col("s_block").alias("block")).join(details, "block").where(F.col("row_idx") < F.col("s")).select("s", F.lit(3).alias("scope"), "num")
+    met = agree.unionByName(blocks)
     zero = F.array(*(total_of(c) for c in value_columns)) if value_columns else F.array().cast("array<double>")
     sums = met.groupBy("s", "scope").agg(zero.alias("sums"), F.count(F.lit(1)).alias("detail_rows"))
+    # all rows have one sum
+    every = details.agg(zero.alias("sums"), F.count(F.lit(1)).alias("detail_rows")).where(F.col("detail_rows") > 0)
+    totals = stated.where(F.col("s_kind") == "total").select("s", F.lit(2).alias("scope"))
+    sums = sums.unionByName(totals.join(F.broadcast(every)))
     entries = stated.join(sums, "s").select("s", "s_kind", "s_label", "s_num", "scope", "detail_rows", F.posexplode("sums").alias("k", "computed"))
     col_at = F.array(*map(F.lit, value_columns)) if value_columns else F.array().cast("array<int>")
     entries = entries.withColumn("c", F.element_at(col_at, F.col("k") + 1)).withColumn("stated", F.element_at("s_num", F.col("c") + 1)).where(F.col("stated").isNotNull())

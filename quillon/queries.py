@@ -20,7 +20,7 @@ from quillon.plans.quality import Contract, date_gaps, profile_fields, profile_t
 from quillon.plans.reconcile import reconcile
 from quillon.plans.report import chart_rows, render
 from quillon.plans.retail import regional_revenue, top_orders
-from quillon.plans.verify import verify_claims
+from quillon.plans.verify import load_evidence, verify_claims
 from quillon.runtime import scratch_dir, table, write_bytes
 from quillon.sources.readers import load_frame, load_tables
 from quillon.streaming.sessions import daily_sums, run_to_end
@@ -451,7 +451,7 @@ def reconcile_query(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.unionByName(s.agg(F.sum("c").alias("c")).select(F.lit("~").alias("k"), F.array(F.lit("Grand total"), F.lit(""), text(F.col("c"))).alias("cells")))
     rows = rows.unionByName(spark.createDataFrame([("", ["priority", "year", "amount"])], "k string, cells array<string>"))
     grid = rows.select((F.row_number().over(Window.orderBy("k")) - 1).alias("row_idx"), "cells")
-    e = reconcile(grid, header_row=0).entries
+    e = reconcile(grid).entries
     return rounded(e.select("label", "scope_type", "scope", "stated", "computed", "status"), stated=2, computed=2)
 
 
@@ -468,6 +468,25 @@ def verify_claims_query(spark: SparkSession, sf: str) -> DataFrame:
     return verify_claims(claims, evidence)["status"]
 
 
+@query("""
+WITH s AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)
+SELECT p || ' said' AS claim_id, 'fail' AS severity, 'untraceable_number' AS code FROM s WHERE p = '5-LOW'
+UNION ALL SELECT p || ' loose', 'info', 'unresolved_evidence_ids' FROM s
+UNION ALL SELECT p || ' loose', 'fail', 'untraceable_number' FROM s WHERE p = '5-LOW'
+UNION ALL SELECT p || ' loose', 'warn', 'reconciliation_conflict_unbound' FROM s WHERE p = '1-URGENT'
+UNION ALL SELECT p || ' said', 'warn', 'reconciliation_conflict_unbound' FROM s WHERE p = '1-URGENT'
+""")
+def verify_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims on counts with and without evidence of their own, against nested JSON evidence and a sheet that does not add up."""
+    counts = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).collect()
+    payload = {"evidence": [{"id": f"E-{r['o_orderpriority']}", "kind": "count", "row": 3, "numbers": {"orders": r["n"]}} for r in counts]}
+    said = [(r["o_orderpriority"], r["n"] + 7000 * (r["o_orderpriority"] == "5-LOW"), r["n"]) for r in counts]
+    claims = [(f"{p} {how}", f"the orders are {x:,}", "L1", [f"E-{p}" if how == "said" else "none"], ["none"]) for p, x, _ in said for how in ("said", "loose")]
+    claims = spark.createDataFrame(claims, "claim_id string, statement string, level string, evidence_ids array<string>, limitations array<string>")
+    bad = spark.createDataFrame([("R001", float(n), n + 50_000.0, "inconsistent") for p, _, n in said if p == "1-URGENT"], "id string, stated double, computed double, status string")
+    return verify_claims(claims, load_evidence(spark, payload), bad)["issues"].select("claim_id", "severity", "code")
+
+
 @query("""
 WITH o AS (SELECT DISTINCT o_custkey, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 0)
 SELECT date_trunc('month', o_orderdate)::DATE AS month, r_name AS region, count(*) AS orders, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS revenue

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import parse_money, statement_numbers
 from quillon.plans.reconcile import reconcile
-from quillon.plans.verify import verify_claims
+from quillon.plans.reconcile import column_names
+from quillon.plans.verify import flatten_evidence, load_evidence, verify_claims
 
 
 def grid(spark, rows):
@@ -49,7 +50,7 @@ def test_tolerance_and_none(spark):
     assert outcome(spark, [["date", "orders"], ["2026-01-01", "3"]])[1]["status"] == "no_summary_rows"
 
 
-@pytest.mark.parametrize(("cell", "number"), [("1,234.50", 1234.5), ("(65.50)", -65.5), ("¥12", 12.0), ("１２３", 123.0), ("12%", 12.0), ("abc", None), ("--", None), (None, None), ("1.2万", None)])
+@pytest.mark.parametrize(("cell", "number"), [("1,234.50", 1234.5), ("(65.50)", -65.5), ("¥12", 12.0), ("１２３", 123.0), ("12%", 12.0), ("abc", None), ("--", None), (None, None), ("1.2万", None), ("\u00a01,234", 1234.0), ("1\u00a0234", 1234.0), ("\u200912\u3000", 12.0), ("①", 1.0), ("（65）", -65.0)])
 def test_cells(spark, cell, number):
     got = spark.createDataFrame([(cell,)], "c string").select(parse_money(F.col("c")).alias("m")).first()["m"]
     assert got["number"] == number
@@ -101,3 +102,35 @@ def test_reconciliation_is_held_against_claims(spark):
     evidence = [("R001", "reconciliation", "stated", 99000.0, False), ("R001", "reconciliation", "computed", 7000.0, False)]
     assert ("C1", "reconciliation_mismatch") in codes(spark, [claim("total 99000", ["R001"])], evidence, recon)[0]
     assert codes(spark, [claim("stated 99000, computed 7000", ["R001"])], evidence, recon)[1] == "pass"
+
+
+def test_names_and_headers(spark):
+    assert column_names(["a", "", "a", "a__2"], 5) == ["a", "__col_2", "a__2", "a__2__2", "__col_5"]
+    rows = [["无", "不适用", "x"], ["", "Report", ""], ["region", "month", "amount"], ["East", "1", "5"], ["合计", "", "5"]]
+    r, s, _ = outcome(spark, rows)
+    assert r.header_row == 2 and s["status"] == "pass"
+    assert outcome(spark, [[""]])[1]["status"] == "no_summary_rows"
+
+
+def test_nested_evidence(spark):
+    payload = {"schema_version": 3, "evidence": [{"id": "E1", "kind": "op", "row": 7, "value": 632, "parts": {"share": 0.25, "deep": [{"delta": -3, "ok": True, "bad": float("nan")}]}}, {"id": "E2", "status": "consistent"}, {"value": 9}]}
+    assert flatten_evidence(payload) == [("E1", "op", "value", 632.0, False), ("E1", "op", "share", 0.25, False), ("E1", "op", "delta", -3.0, False), ("E2", None, "", None, True)]
+    assert flatten_evidence({"a": [1, {"rate": 0.5}]}) == [(None, None, "", 1.0, False), (None, None, "rate", 0.5, False)] and flatten_evidence(5) == [(None, None, "", 5.0, False)]
+    e = load_evidence(spark, payload, {"evidence": [{"id": "E1", "value": 700}]})
+    assert {(r["id"], r["value"]) for r in e.collect()} == {("E1", 700.0), ("E2", None)}
+    got, _ = codes(spark, [claim("A is 632 and 25%")], flatten_evidence(payload))
+    assert got == set()
+
+
+def test_bags_and_unresolved_claims(spark):
+    bag = flatten_evidence({"a": [632, {"rate": 0.116}], "big": 123456789.0})
+    got, status = codes(spark, [claim("A is 632, 11.6%, of 123,456,789"), claim("A is 633", name="C2"), claim("", name="C3")], bag)
+    assert got == {("C1", "unscoped_evidence"), ("C2", "unscoped_evidence"), ("C2", "untraceable_number"), ("C3", "missing_statement")} and status == "fail"
+    got, _ = codes(spark, [claim("A is 632", ["none"]), claim("A is 9", ["none"], name="C2")], [("E1", "op", "value", 632.0, True)])
+    assert got == {("C1", "unresolved_evidence_ids"), ("C2", "unresolved_evidence_ids"), ("C2", "untraceable_number")}
+
+
+def test_percentages_of_a_cell_that_does_not_add_up(spark):
+    recon = spark.createDataFrame([("R1", 0.6, 0.2, "inconsistent"), ("R2", 5e6, 1.0, "inconsistent"), ("R3", 0.0, 1.0, "inconsistent")], "id string, stated double, computed double, status string")
+    got, _ = codes(spark, [claim("it is 60%", ["E1"]), claim("5,000,001 in all", ["R2"], name="C2"), claim("none", name="C3")], [("E1", "op", "rate", 0.6, True), ("R2", "r", "stated", 5e6, False)], recon)
+    assert ("C1", "reconciliation_conflict_unbound") in got and ("C2", "reconciliation_mismatch") in got and not {k for k in got if k[0] == "C3" and "recon" in k[1]}
