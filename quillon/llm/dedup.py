@@ -7,8 +7,9 @@
    (1 - t**ROWS)**BANDS, 2e-7 at t = 0.75.
 3. Classes tied together that fit in a tile of bounded size are one, and their texts meet there. Larger ones are not
    closed over: first members meet the heads of their buckets, some members a tile, which joins groups of near
-   copies of any size with work in proportion to their rows. Then, bucket by bucket, those outside the bucket's largest component
-   meet the bucket's others. A pair that shares several buckets meets in the first of them. An over-full bucket is cut into parts.
+   copies of any size with work in proportion to their rows. Then those outside the group's largest component meet the others: few
+   of them meet all of the group, part by part; many meet bucket by bucket, again all but a bucket's largest component, a pair
+   that shares several of the first buckets in the first of them. An over-full bucket is cut into parts.
 4. In those tiles of large groups only the first SIFT hashes of each member travel; members that a Bayesian gate leaves a
    partner are asked for their texts, the others are done. So where many are alike but not linked, hashes meet, not texts.
 5. Wherever texts meet, signatures are compared in batches; after each batch a pair whose similarity is below the threshold with
@@ -39,6 +40,8 @@ BATCH, MISS = 16, 1e-7
 PART_ROWS, PART_BYTES = 512, 4 << 20
 #: Members that meet a bucket's head in one tile, and hashes of each member that meet before texts do.
 STAR_ROWS, SIFT = 64, 64
+#: What the heads leave of a large group meets all of it in up to this many parts; beyond that only what shares a bucket meets.
+FEW_PARTS = 16
 #: Texts of up to this many classes (two numbers each) are picked by broadcast; of more, by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -190,21 +193,18 @@ def _each_tile(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> I
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tiles of signatures: those whose rows have a likely partner in the tile.
 
-    Side 0 is held against side 1 and, where ``pa`` equals ``pb``, against itself. Pairs of one component are linked already; ``band`` is
-    the tile's bucket's, and a pair that shares an earlier bucket meets there (-1: all pairs meet here).
+    Side 0 is held against side 1. Pairs of one component are linked already; ``band`` is the tile's bucket's, and a pair
+    that shares an earlier bucket meets there (-1: all pairs meet here).
     """
     gates = least_matches(SIFT)
     for tile in _each_tile(batches, (*_TILE, "component", "band", "n_shingles", "signature")):
         side, component, sizes = (np.asarray([r[k] for r in tile], dtype=np.int64) for k in (5, 6, 8))
         signatures = np.frombuffer(b"".join(r[9] for r in tile), dtype=np.uint32).reshape(len(tile), -1)
-        band, same = tile[0][7], tile[0][1] == tile[0][2]
+        band = tile[0][7]
         bands = signatures[:, : max(band, 0) * ROWS].reshape(len(tile), -1, ROWS)
         wanted = np.zeros(len(tile), dtype=bool)
         for i in np.flatnonzero(side == 0):
             others = np.flatnonzero((side == 1) & (component != component[i]))
-            if same:
-                more = np.flatnonzero((side == 0) & (component != component[i]))
-                others = np.concatenate((others, more[more > i]))
             others, _ = likely(i, others, signatures, sizes, gates)
             if len(others) and band > 0:
                 others = others[~(bands[others] == bands[i]).all(axis=2).any(axis=1)]
@@ -303,7 +303,7 @@ def links(docs: DataFrame, reps: DataFrame, doc: str = "doc_id", text: str = "te
     members = stash(members.join(sizes, "cluster"))
     zero = F.lit(0)
     whole = members.where(~F.col("large")).select("cluster", zero.alias("pa"), zero.alias("pb"), "id", "th", zero.alias("side"))
-    large = members.where("large").select("id", "th")
+    large = members.where("large").select("cluster", "id", "th")
     if large.isEmpty():
         return _found(docs, whole, doc, text)
 
@@ -311,25 +311,38 @@ def links(docs: DataFrame, reps: DataFrame, doc: str = "doc_id", text: str = "te
     spokes = tied.join(large.select(F.col("id").alias("a"), "th"), "a").withColumnsRenamed({"a": "id", "b": "head"})
     many = spokes.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("chunks"))
     star = spokes.join(many, "head").select(F.col("head").alias("cluster"), _part(F.col("chunks")).alias("pa"), F.lit(-1).alias("pb"), "id", "th", F.lit(1).alias("side"))
-    heads = many.join(large.withColumnRenamed("id", "head"), "head").select(F.col("head").alias("cluster"), _upto(F.col("chunks")).alias("pa"), F.lit(-1).alias("pb"), F.col("head").alias("id"), "th", zero.alias("side"))
+    heads = many.join(large.select(F.col("id").alias("head"), "th"), "head").select(F.col("head").alias("cluster"), _upto(F.col("chunks")).alias("pa"), F.lit(-1).alias("pb"), F.col("head").alias("id"), "th", zero.alias("side"))
     apart = star.unionByName(heads).withColumn("component", F.col("side")).withColumn("band", F.lit(-1))
     first = _found(docs, whole.unionByName(_sifted(apart, reps)), doc, text)
 
-    # what shares a bucket and is in several components meets there: all but the largest with all
+    # all but a group's largest component meet all of it: part by part where they are few, else bucket by bucket
     joined = connected_components(first.join(large.select(F.col("id").alias("a")), "a", "left_semi"))
-    rows = reps.join(large, ["id", "th"], "left_semi").select("id", "th", F.posexplode(buckets(F.col("signature"))).alias("band", "cluster"))
-    rows = stash(rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    large = stash(large.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    by = stash(_several(large).withColumn("near", F.col("few") <= FEW_PARTS))
+    split = large.join(by, "cluster").withColumn("band", F.lit(-1))
+    tiles = _two_sides(split.where("near"))
+    far = split.where(~F.col("near")).select("id", "th", "component")
+    if not far.isEmpty():
+        rows = reps.join(far, ["id", "th"]).select("id", "th", "component", F.posexplode(buckets(F.col("signature"))).alias("band", "cluster"))
+        rows = stash(rows)
+        tiles = tiles.unionByName(_two_sides(rows.join(_several(rows), "cluster")))
+    return first.unionByName(_found(docs, _sifted(tiles, reps), doc, text))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """(cluster, main, parts, few) of those clusters of ``rows`` that have several components: the largest one, and how many parts
+    all of the cluster and all but that component are."""
     by = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     by = by.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where(F.col("n") > F.col("most"))
-    by = by.select("cluster", "main", _chunks(F.col("n")).alias("parts"), _chunks(F.col("n") - F.col("most")).alias("few"))
-    rows = stash(rows.join(by, "cluster").withColumn("rest", F.col("component") != F.col("main")))
-    one = F.col("parts") == 1
-    own = rows.where(one).select("cluster", zero.alias("pa"), zero.alias("pb"), "id", "th", F.when(F.col("rest"), 0).otherwise(1).alias("side"), "component", "band")
-    left = rows.where(~one & F.col("rest")).select("cluster", _part(F.col("few"), 1).alias("pa"), _upto(F.col("parts")).alias("pb"), "id", "th", zero.alias("side"), "component", "band")
-    right = rows.where(~one).select("cluster", _upto(F.col("few")).alias("pa"), _part(F.col("parts"), 2).alias("pb"), "id", "th", F.lit(1).alias("side"), "component", "band")
+    return by.select("cluster", "main", _chunks(F.col("n")).alias("parts"), _chunks(F.col("n") - F.col("most")).alias("few"))
+
+
+def _two_sides(rows: DataFrame) -> DataFrame:
+    """Tiles that set each part of what is outside the main component against each part of all."""
+    left = rows.where(F.col("component") != F.col("main")).select("cluster", _part(F.col("few"), 1).alias("pa"), _upto(F.col("parts")).alias("pb"), "id", "th", F.lit(0).alias("side"), "component", "band")
+    right = rows.select("cluster", _upto(F.col("few")).alias("pa"), _part(F.col("parts"), 2).alias("pb"), "id", "th", F.lit(1).alias("side"), "component", "band")
     # a tile of two sides has a negative second part
-    both = left.unionByName(right).withColumn("pb", -F.col("pb") - 2)
-    return first.unionByName(_found(docs, _sifted(own.unionByName(both), reps), doc, text))
+    return left.unionByName(right).withColumn("pb", -F.col("pb") - 2)
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

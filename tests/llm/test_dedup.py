@@ -61,10 +61,11 @@ def test_against_brute_force(spark, seed):
         assert (got[d]["n_shingles"], got[d]["component_id"], got[d]["kept"]) == (n, c, c == d)
 
 
-@pytest.mark.parametrize("part", [2, 4])
-def test_parts_of_large_clusters(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "few"), [(4, 16), (4, 0), (2, 1)])
+def test_parts_of_large_clusters(spark, monkeypatch, part, few):
     """A cluster in many tiles has the same links as in one."""
     monkeypatch.setattr(dedup, "PART_ROWS", part)
+    monkeypatch.setattr(dedup, "FEW_PARTS", few)
     monkeypatch.setattr(dedup, "STAR_ROWS", 2)
     monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
     docs = corpus(3)
@@ -103,9 +104,11 @@ def alike(n, seed=4):
     return [(d, " ".join(common[:55] + [f"w{rng.random()}" for _ in range(60)])) for d in range(n)]
 
 
-def test_texts_of_unlinked_documents_do_not_travel(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 16])
+def test_texts_of_unlinked_documents_do_not_travel(spark, monkeypatch, few):
     """Where many are alike and none linked, hashes meet and no texts; linked ones among them are found."""
     monkeypatch.setattr(dedup, "PART_ROWS", 32)
+    monkeypatch.setattr(dedup, "FEW_PARTS", few)
     asked = []
     found = dedup._found
 
