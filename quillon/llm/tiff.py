@@ -25,7 +25,9 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _KINDS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 WIDTH, MAGIC = 192, b"II*\x00"
-PAGE_TYPE = "page int, width int, height int, samples_per_pixel int, bits int, compression int, predictor int, pixels binary, error string"
+#: A page of more samples is not read.
+MOST_SAMPLES = 1 << 28
+PAGE_TYPE = "page int, width int, height int, samples_per_pixel int, bits int, compression int, predictor int, pixels binary, palette binary, error string"
 
 
 @dataclass
@@ -38,11 +40,13 @@ class Page:
     compression: int
     predictor: int
     pixels: bytes
+    palette: bytes | None = None
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
+    """At most ``most`` bytes and the rest of a run."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         n = data[i]
         i += 1
         if n < 128:
@@ -70,12 +74,14 @@ def packbits_encode(row: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; 256 clears the table and 257 ends."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first; 256 clears the table and 257 ends, as do ``most`` bytes."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     names, width, held, bits, last = list(first), 9, 0, 0, None
-    out = []
+    out, size = [], 0
     for byte in data:
+        if most is not None and size >= most:
+            break
         held = (held << 8) | byte
         bits += 8
         if bits < width:
@@ -97,6 +103,7 @@ def lzw_decode(data: bytes) -> bytes:
             if len(names) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(word)
+        size += len(word)
         last = word
     return b"".join(out)
 
@@ -140,15 +147,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode(data: bytes, how: int) -> bytes:
+def _decode(data: bytes, how: int, most: int) -> bytes:
+    """The decoded bytes, of which at most ``most`` and one more are made."""
     if how == NONE:
-        return data
+        return data[:most]
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if how == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if how == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     raise ValueError(f"compression {how} is not supported")
 
 
@@ -200,7 +208,7 @@ def _each_page(data: bytes) -> Iterator[Page | ValueError]:
             yield _page(data, tags, number, order)
         except ValueError as e:
             yield e
-        except (struct.error, KeyError, IndexError, zlib.error) as e:
+        except (struct.error, KeyError, IndexError, zlib.error, ArithmeticError, MemoryError, TypeError) as e:
             error = ValueError(f"page {number} is broken: {type(e).__name__} {e}")
             error.__cause__ = e
             yield error
@@ -218,33 +226,41 @@ def read_pages(data: bytes) -> Iterator[Page]:
 def _page(data: bytes, tags: dict[int, tuple], number: int, order: str) -> Page:
     width, height = tags[256][0], tags[257][0]
     bits, samples = tags.get(258, (1,))[0], tags.get(277, (1,))[0]
+    if min(width, height, samples) < 1 or width * height * samples > MOST_SAMPLES:
+        raise ValueError(f"{width} x {height} samples of {samples} are none or over {MOST_SAMPLES}")
     how, predictor = tags.get(259, (NONE,))[0], tags.get(317, (1,))[0]
-    if bits not in (1, 8, 16) or bits == 1 and (predictor != 1 or tags.get(266, (1,))[0] != 1) or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2):
+    if bits not in (1, 2, 4, 8, 16) or bits < 8 and (predictor != 1 or tags.get(266, (1,))[0] != 1) or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2):
         raise ValueError(f"{bits} bits, predictor {predictor} or separate planes are not supported")
-    # samples of one bit get a byte each, 0 or 1
+    # samples of less than a byte get one each; palette pages give their indices, and the palette beside them
     kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     out = np.zeros((height, width, samples), dtype=kind)
     if 322 in tags:
         wide, tall, starts, counts = tags[322][0], tags[323][0], tags[324], tags[325]
     else:
         wide, tall, starts, counts = width, min(tags.get(278, (height,))[0], height), tags[273], tags[279]
-    across = -(-width // wide) if wide else 0
+    if min(wide, tall) < 1:
+        raise ValueError(f"page {number} has strips or tiles without a size")
+    across = -(-width // wide)
     for i, (a, n) in enumerate(zip(starts, counts, strict=True)):
         if a + n > len(data):
             raise ValueError(f"page {number} is cut short")
         y, x = i // across * tall, i % across * wide
         rows = tall if 322 in tags else min(tall, height - y)
-        raw = _decode(data[a : a + n], how)
-        if bits == 1:
-            line = -(-wide * samples // 8)
+        if y >= height or rows < 1 or rows * wide * samples > MOST_SAMPLES:
+            raise ValueError(f"page {number} has strips or tiles beyond its size")
+        line = -(-wide * samples * bits // 8)
+        raw = _decode(data[a : a + n], how, rows * line)
+        if bits < 8:
             packed = np.frombuffer(raw, dtype=kind, count=rows * line).reshape(rows, line)
-            part = np.unpackbits(packed, axis=1)[:, : wide * samples].reshape(rows, wide, samples)
+            each = np.unpackbits(packed, axis=1).reshape(rows, -1, bits) @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+            part = each[:, : wide * samples].reshape(rows, wide, samples)
         else:
             part = np.frombuffer(raw, dtype=kind, count=rows * wide * samples).reshape(rows, wide, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
         out[y : y + rows, x : x + wide] = part[: height - y, : width - x]
-    return Page(number, width, height, samples, bits, how, predictor, out.tobytes())
+    palette = np.asarray(tags[320], dtype="<u2").tobytes() if tags.get(262, (1,))[0] == 3 and 320 in tags else None
+    return Page(number, width, height, samples, bits, how, predictor, out.tobytes(), palette)
 
 
 def write_page(pixels: bytes, width: int = WIDTH, compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 64, tile: int | None = None) -> bytes:
@@ -302,10 +318,10 @@ def explode_pages(df: DataFrame, media: str) -> DataFrame:
             if f is not None:
                 for p in _each_page(bytes(f)):
                     if isinstance(p, ValueError):
-                        got.append((None,) * 8 + (str(p),))
+                        got.append((None,) * 9 + (str(p),))
                     else:
-                        got.append((p.page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None))
-            out.append([dict(zip(new.names, g, strict=True)) for g in got or [(None,) * 9]])
+                        got.append((p.page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, p.palette, None))
+            out.append([dict(zip(new.names, g, strict=True)) for g in got or [(None,) * 10]])
         return pd.Series(out)
 
     decode = F.pandas_udf(rows, f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in new.fields)}>>")
@@ -344,7 +360,11 @@ _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's bytes stored as a grey TIFF page, read back with the directory walker and measured."""
+    """Each document's bytes stored as a grey TIFF page, read back with the directory walker and measured.
+
+    Null and empty texts are one row of spaces. Rows are taken one by one, so repeated rows, equal texts and null ids give rows of
+    equal values, and an empty table none.
+    """
     ship_package(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return docs.mapInArrow(_digest, _DIGEST)

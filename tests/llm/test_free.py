@@ -292,6 +292,61 @@ def test_tiff_round_trip(how, predictor, tile):
             assert page.pixels == pixels and (page.width, page.height) == (192, n // 192)
 
 
+def _tiff(tags, data):
+    import struct
+
+    out = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags) + 1)
+    start = 8 + 2 + 12 * (len(tags) + 1) + 4
+    fields = {**tags, 273: start}
+    body = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(fields.items()))
+    return out + body + b"\0\0\0\0" + data
+
+
+def test_tiff_sizes_that_do_not_hold(spark):
+    """Pages of no size, of a size beyond any memory, and data that unpack to more than the page are errors or cut; none stops the job."""
+    import zlib
+
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    files = [_tiff({256: w, 257: h, 258: 8, 259: c, 278: h, 279: len(d)}, d) for w, h, c, d in ((0, 4, 1, b"abcd"), (2**31, 2**31, 1, b"abcd"), (4, 0, 1, b"abcd"), (2, 2, 8, bomb), (2, 2, 32773, b"\x81a" * 1000), (2, 2, 5, b"\xff" * 99))]
+    files.append(_tiff({256: 2, 257: 2, 258: 8, 259: 1, 278: 0, 279: 4}, b"abcd"))
+    rows = tiff.explode_pages(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "k long, media binary"), "media").collect()
+    got = {r["k"]: r for r in rows}
+    assert all(got[k]["error"] for k in (0, 1, 2, 5, 6)) and bytes(got[3]["pixels"]) == b"\0" * 4 and bytes(got[4]["pixels"]) == b"aaaa"
+
+
+def test_tiff_small_samples():
+    (four,) = tiff.read_pages(_tiff({256: 3, 257: 2, 258: 4, 259: 1, 278: 2, 279: 4}, b"\x12\x30\xab\xc0"))
+    assert list(four.pixels) == [1, 2, 3, 10, 11, 12]
+    (two,) = tiff.read_pages(_tiff({256: 5, 257: 1, 258: 2, 259: 1, 262: 3, 278: 1, 279: 2, 320: 7}, b"\x1b\xc0"))
+    assert list(two.pixels) == [0, 1, 2, 3, 3] and two.palette == b"\x07\x00"
+
+
+def test_media_query_against_plain_python(spark):
+    """All columns of all documents."""
+    import hashlib
+    import zlib
+
+    from quillon.runtime import table
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in tiff.op10_media_tiff(spark, sf).collect()}
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        raw = (d["text"] or "").encode()
+        size = max(192, -(-len(raw) // 192) * 192)
+        payload, r = raw.ljust(size), got[d["doc_id"]]
+        strips = [zlib.compress(payload[i : i + 192 * 64], 1) for i in range(0, size, 192 * 64)]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = tiff.write_page(payload)
+        assert all(s in media for s in strips) and (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        count = [payload.count(bytes((b,))) for b in range(256)]
+        share = [c / size for c in count if c]
+        mean = sum(b * c for b, c in enumerate(count)) / size
+        entropy = -sum(p * np.log2(p) for p in share)
+        assert r["feature"].startswith(f"192x{size // 192};c8;p1;mean={mean:.4f};") and f"entropy={entropy:.4f};distinct={len(share)}" in r["feature"]
+
+
 def test_tiff_broken_and_pages(spark):
     one = tiff.write_page(b"a" * 192)
     for bad in (b"", b"II", b"xx" + one, one[:40], one[:-60]):
