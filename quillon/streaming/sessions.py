@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import scratch_dir
+
 
 def daily_sums(events: DataFrame, late: str = "2 days") -> DataFrame:
     """(day, event_type, n, value) of a stream of (ts, event_type, value); rows later than ``late`` are left out."""
@@ -20,7 +22,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now, into a table in memory; for small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what there is now, into a table on shared storage: ``complete`` results replace each other, ``append``
+    adds them up. State and result lie in scratch folders; nothing but progress reaches the driver."""
+    if mode not in ("complete", "append"):
+        raise ValueError("mode is complete or append")
+    spark = stream.sparkSession
+    where = scratch_dir(spark)
+    spark.createDataFrame([], stream.schema).write.parquet(where)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(where)
+
+    q = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", scratch_dir(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(where)
