@@ -169,3 +169,20 @@ def test_escapes_are_reversible(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).collect()
     assert all(r["t"] == r["u"] for r in rows)
     assert not any(mark in r["e"] for r in rows for mark in ("<|", "</s>", "[INST]", "[/INST]"))
+
+
+def test_chat_odd_rows(spark):
+    """Very long texts of nothing but escaped characters, columns with names that are used inside, repeated and null rows."""
+    long = "<[\\" * 100_000
+    rows = [(1, 0, "user", long, 5, 5), (1, 1, "assistant", long, 5, 5), (2, 0, "assistant", None, 5, 5), (2, 0, "assistant", None, 5, 5), (None, None, None, "x", 5, 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, layout int, formatted int")
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(chat.turns_from_columns(df))).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (2, 300_000) and got[1]["formatted_chars"] > 1_200_000
+    assert (got[2]["n_turns"], got[2]["loss_chars"], got[None]["n_turns"]) == (2, 0, 1) and len(got) == 3
+
+
+def test_mix_odd_rows(spark):
+    """Null ids, sources and sizes of nothing; repeated rows; columns with names that are added."""
+    rows = [(None, None, 5, 1), (1, "s", 0, 1), (2, "s", 7, 1), (2, "s", 7, 1), (3, "t", 1_000_000, 1)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long, target int")).collect()
+    assert len(got) == 5 and all(r["taken"] <= 2 * r["size"] for r in got) and [r["taken"] for r in got if r["size"] == 0] == [0]
