@@ -344,7 +344,10 @@ def changepoint_cusum(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(changepoint_scan(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")["cusum"], value=6)
 
 
-@query()
+@query("""
+WITH s AS (SELECT pow(1.959963984540054::DOUBLE + 0.8416212335729143::DOUBLE, 2) * (0.5 * 0.5 + 0.55 * 0.45) / pow(0.05::DOUBLE, 2) AS n)
+SELECT 'binary' AS metric_type, 0.05::DOUBLE AS alpha, 0.8::DOUBLE AS power, 0.5::DOUBLE AS baseline, 0.05::DOUBLE AS effect, ceil(n) AS n_control, ceil(n) AS n_treatment, ceil(n / 500) AS days, NULL::DOUBLE AS detectable_effect FROM s
+""")
 def power_mde_query(spark: SparkSession, sf: str) -> DataFrame:
     return power_mde(spark, baseline_rate=0.5, mde_absolute=0.05, daily_traffic_per_arm=500)["summary"]
 
