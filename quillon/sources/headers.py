@@ -43,11 +43,15 @@ RATE_MARK = "率"
 _NUMBER = re.compile(r"[-+]?\d+(\.\d+)?")
 
 
+_plain = lambda name: name.lower().replace(" ", "")
+#: One pattern a role, over names without spaces.
+_MATCHERS = {role: re.compile("|".join(map(re.escape, map(_plain, words)))) for role, words in ROLE_WORDS.items()}
+
+
 def role_matches(column: str, role: str) -> bool:
-    name = column.lower().replace(" ", "")
-    if role in COUNT_ROLES and RATE_MARK in name:
-        return False
-    return any(w.lower().replace(" ", "") in name for w in ROLE_WORDS.get(role, ()))
+    """Whether a column's name has a word of a role; a rate is no count."""
+    found = _MATCHERS[role].search(_plain(column)) if role in _MATCHERS else None
+    return found is not None and not (role in COUNT_ROLES and RATE_MARK in column)
 
 
 def infer_roles(columns: Sequence[str]) -> dict[str, list[str]]:
